@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import idfiles, mixing, packing, quality
+from tempora.llm import idfiles, mixing, packing, quality, secrets, simhash, toxicity
 from tempora.llm.common import read_documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -24,9 +24,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(read_documents(spark, sf_dir))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read_documents(spark, sf_dir))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edits(read_documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.copies(read_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_id_files, op5_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_id_files, op5_quality, op6_secrets, op7_simhash, op8_toxicity, op10_mixing)}
 ORACLES = {"op10_mixing": mixing.ORACLE}
