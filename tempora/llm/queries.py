@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import idfiles, mixing, packing, quality, secrets, simhash, toxicity
+from tempora.llm import editcount, idfiles, licenses, mixing, packing, quality, secrets, simhash, toxicity
 from tempora.llm.common import read_documents
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editcount.edit_counts(editcount.with_query_edits(read_documents(spark, sf_dir)), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
 
@@ -20,6 +24,10 @@ def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(read_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.licenses(read_documents(spark, sf_dir)))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(read_documents(spark, sf_dir))
 
@@ -40,5 +48,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.copies(read_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_id_files, op5_quality, op6_secrets, op7_simhash, op8_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_edit_counts, op2_packing, op3_id_files, op4_licenses, op5_quality, op6_secrets, op7_simhash, op8_toxicity, op10_mixing)}
 ORACLES = {"op10_mixing": mixing.ORACLE}
