@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import editcount, idfiles, licenses, mixing, packing, quality, secrets, simhash, toxicity
+from tempora.llm import editcount, idfiles, jaccard, licenses, mixing, packing, quality, secrets, simhash, toxicity
 from tempora.llm.common import read_documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -44,9 +44,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read_documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.copies(read_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_counts, op2_packing, op3_id_files, op4_licenses, op5_quality, op6_secrets, op7_simhash, op8_toxicity, op10_mixing)}
-ORACLES = {"op10_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_edit_counts, op2_packing, op3_id_files, op4_licenses, op5_quality, op6_secrets, op7_simhash, op8_toxicity, op9_jaccard, op10_mixing)}
+ORACLES = {"op9_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
