@@ -119,3 +119,23 @@ def keep(docs: DataFrame) -> DataFrame:
             yield b.filter(pa.array([measure((t.as_py() or "").encode())["kept"] for t in b.column(at)], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
+
+
+ORACLE = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+') AS w FROM texts),
+counts AS (SELECT r, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars FROM words),
+grams AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([3, 5, 7, 10]) AS k))),
+twice AS (SELECT r, k, i FROM (SELECT *, count(*) OVER (PARTITION BY r, k, g) AS c FROM grams) WHERE c > 1),
+places AS (SELECT DISTINCT r, k, p FROM (SELECT r, k, unnest(range(i, i + k)) AS p FROM twice)),
+covers AS (SELECT p.r, count(*) FILTER (k = 3) AS n_repeat_words, sum(length(w[p])) FILTER (k = 5) AS dup_chars_5, sum(length(w[p])) FILTER (k = 7) AS dup_chars_7, sum(length(w[p])) FILTER (k = 10) AS dup_chars_10
+  FROM places p JOIN words ON p.r = words.r GROUP BY p.r),
+lines AS (SELECT r, line, count(*) AS c FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^ \t\n\x0B\x0C\r]') GROUP BY r, line),
+line_counts AS (SELECT r, sum(c - 1) AS n_dup_lines, sum(length(line) * c) FILTER (c > 1) AS dup_line_chars, sum(length(line) * c) AS line_chars FROM lines GROUP BY r),
+found AS (SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars, CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars,
+  CAST(coalesce(dup_chars_5, 0) AS BIGINT) AS dup_chars_5, CAST(coalesce(dup_chars_7, 0) AS BIGINT) AS dup_chars_7, CAST(coalesce(dup_chars_10, 0) AS BIGINT) AS dup_chars_10
+  FROM texts LEFT JOIN counts USING (r) LEFT JOIN covers USING (r) LEFT JOIN line_counts USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found)
+SELECT *, NOT base_failed AND dup_line_chars <= 0.30::DOUBLE * line_chars AND n_symbols <= 0.25::DOUBLE * n_words AND dup_chars_5 <= 0.30::DOUBLE * word_chars AND dup_chars_7 <= 0.28::DOUBLE * word_chars AND dup_chars_10 <= 0.25::DOUBLE * word_chars AS kept FROM judged
+"""
