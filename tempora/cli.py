@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 import tempora
+from tempora.config import load
 from tempora.functions.aggregates import parse_functions
 from tempora.functions.labels import parse_labels
 from tempora.functions.times import format_time, parse_time, resolve_range
@@ -61,12 +61,13 @@ def answer(table: Table, q: Query):  # noqa: ANN201
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tempora")
-    p.add_argument("--table", default=os.environ.get("TEMPORA_TABLE", ""), help="path of the table")
+    p.add_argument("--table", default="", help="path of the table")
+    p.add_argument("--config", default="", help="JSON file of settings")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("create")
-    c.add_argument("-r", "--rate", default="1/s")
+    c.add_argument("-r", "--rate", default="")
     c.add_argument("-a", "--aggregates", default="")
-    c.add_argument("-i", "--granularity", default="1h")
+    c.add_argument("-i", "--granularity", default="")
     c.add_argument("--cross-labels", default="")
     a = sub.add_parser("add")
     a.add_argument("metric", nargs="?", default="")
@@ -80,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("name", nargs="?", default="")
     for short, name in (("-b", "begin"), ("-e", "end"), ("-l", "last"), ("-i", "step"), ("-w", "window"), ("-f", "filter"), ("-a", "aggregates"), ("-g", "groupBy")):
         q.add_argument(short, f"--{name}", default="")
-    q.add_argument("-o", "--output", default="text", choices=formats.FORMATS)
+    q.add_argument("-o", "--output", default="", choices=["", *formats.FORMATS])
     q.add_argument("--rollups", action="store_true")
     i = sub.add_parser("info")
     i.add_argument("-m", "--names", action="store_true")
@@ -115,21 +116,24 @@ def main(args: list[str] | None = None, spark=None) -> int:  # noqa: ANN001
     if o.command == "time":
         print(other_time(o.value))
         return 0
+    settings = load(o.config, table=o.table)
+    o.table = settings.table
     if not o.table:
-        raise SystemExit("give --table or set TEMPORA_TABLE")
+        raise SystemExit("give --table, or set it in the configuration or as TEMPORA_TABLE")
     if spark is None:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("tempora").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if o.command == "create":
-        Table.create(spark, o.table, make_schema(o.rate, ",".join(parse_functions(o.aggregates)), o.granularity, o.cross_labels))
+        s = load(o.config, rate=o.rate, aggregates=o.aggregates, granularity=o.granularity, cross_labels=o.cross_labels)
+        Table.create(spark, o.table, make_schema(s.rate, ",".join(parse_functions(s.aggregates)), s.granularity, s.cross_labels))
         return 0
     table = Table.open(spark, o.table)
     if o.command == "add":
         batch = (samples.read_json if o.json else samples.read_csv)(spark, o.file) if o.file else samples.from_arrays(spark, o.metric, o.labels, o.values, o.times)
-        table.append(batch, o.override)
+        table.append(batch, o.override or settings.override)
     elif o.command == "query":
-        for line in formats.lines(answer(table, make_query(o.name, o.aggregates, o.filter, o.begin, o.end, o.last, o.step, o.window, o.groupBy, rollups=o.rollups)), o.output):
+        for line in formats.lines(answer(table, make_query(o.name, o.aggregates, o.filter, o.begin, o.end, o.last, o.step, o.window, o.groupBy, rollups=o.rollups)), o.output or settings.output):
             print(line)
     elif o.command == "info":
         print(json.dumps({k: v if isinstance(v, (str, list, int)) else v.__dict__ for k, v in table.describe(o.names, o.count).items()}, indent=1))

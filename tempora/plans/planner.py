@@ -17,7 +17,7 @@ from tempora.functions.labels import lset, subset
 from tempora.operators import cells as C
 from tempora.operators.aggregate import Wanted, aggregate
 from tempora.operators.align import aligned, merged_columns
-from tempora.operators.grid import sampled
+from tempora.operators.grid import sampled, sampled_text
 from tempora.plans.filters import parse_filter
 from tempora.plans.spec import Query, resolved
 
@@ -84,12 +84,25 @@ def _sampled(samples: DataFrame, query: Query, columns) -> DataFrame:  # noqa: A
     return reduce(DataFrame.unionByName, parts)
 
 
-def _downsampled(samples: DataFrame, query: Query, columns) -> DataFrame:  # noqa: ANN001
-    values = _sampled(samples, query, columns)
+def _downsampled(samples: DataFrame, query: Query, columns, text: frozenset[str] = frozenset()) -> DataFrame:  # noqa: ANN001
     if columns[0].wildcard:
-        return values.select("metric", "labels", "lset", "k", F.col("v").alias("value"))
-    made = [F.max(F.when(F.col("metric") == c.metric, F.col("v"))).alias(c.name) for c in columns]
-    return values.groupBy("lset", "k").agg(F.any_value("labels").alias("labels"), *made)
+        return _sampled(samples, query, columns).select("metric", "labels", "lset", "k", F.col("v").alias("value"))
+
+    def frame(values: DataFrame, own, value: str) -> DataFrame:  # noqa: ANN001
+        made = [F.max(F.when(F.col("metric") == c.metric, F.col(value))).alias(c.name) for c in own]
+        return values.groupBy("lset", "k").agg(F.any_value("labels").alias("labels"), *made)
+
+    frames = []
+    if numbers := [c for c in columns if c.metric not in text]:
+        frames.append(frame(_sampled(samples, query, numbers), numbers, "v"))
+    for c in columns:
+        if c.metric in text:
+            rows = samples.where(F.col("metric") == c.metric)
+            frames.append(frame(sampled_text(rows, query.start, query.stop, query.step, None if c.interpolator == "none" else c.tolerance), [c], "s"))
+    if len(frames) == 1:
+        return frames[0]
+    both = merged_columns([f.withColumnRenamed("labels", f"_labels{i}") for i, f in enumerate(frames)], ["lset", "k"])
+    return both.select("lset", "k", F.coalesce(*[f"_labels{i}" for i in range(len(frames))]).alias("labels"), *[c.name for c in columns])
 
 
 def _across(samples: DataFrame, query: Query) -> DataFrame:
@@ -121,7 +134,7 @@ def select(samples: DataFrame, query: Query, text: frozenset[str] = frozenset(),
             return rows.select("metric", "labels", "lset", F.col("t_ms").alias("time"), F.col("v").alias("value"), F.col("s").alias("text"))
         return aligned(rows, [(c.name, c.metric) for c in query.columns], text)
     if query.kind == "sampled":
-        return _timed(_downsampled(rows, query, query.columns), query)
+        return _timed(_downsampled(rows, query, query.columns, text), query)
     if query.kind == "across":
         return _timed(_across(rows, query), query)
     with_function = [c for c in query.columns if c.function]

@@ -141,7 +141,7 @@ class Table:
 
     def _text_metrics(self, query: Query) -> frozenset[str]:
         metrics = [c.metric for c in query.columns if not c.wildcard and not c.function]
-        if not metrics or query.step:
+        if not metrics:
             return frozenset()
         found = self.series().where(F.col("metric").isin(metrics) & ~F.col("numeric")).select("metric").distinct()
         return frozenset(r[0] for r in found.toLocalIterator())  # at most the query's own metrics

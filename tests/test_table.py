@@ -202,3 +202,29 @@ def test_stateful_rule(spark, tmp_path):
     q = got.writeStream.format("memory").queryName("monotonic").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["metric"], r["t_ms"], r["v"]) for r in spark.table("monotonic").collect()) == [("b", 1, 1.0), ("cpu", 5, 2.0), ("cpu", 10, 1.0)]
+
+
+def test_settings(tmp_path):
+    from tempora.config import load
+
+    (tmp_path / "c.json").write_text(json.dumps({"table": "a", "rate": "2/s", "token": "secret"}))
+    c = load(str(tmp_path / "c.json"), {"TEMPORA_RATE": "3/s", "TEMPORA_OVERRIDE": "true"}, granularity="30m", output="")
+    assert (c.table, c.rate, c.granularity, c.override, c.output) == ("a", "3/s", "30m", True, "text")
+    assert "secret" not in str(c) and "secret" not in repr(c)
+    with pytest.raises(ValueError):
+        load("", {}, colour="red")
+
+
+def test_text_is_downsampled(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), make_schema())
+    t.append(rows(spark, *[("log", {}, BASE + i * MINUTE, "abc"[i]) for i in range(3)], *[("cpu", {}, BASE + i * MINUTE, float(i)) for i in range(3)]))
+    got = t.select(Query(BASE, BASE + 4 * MINUTE, [Column("log", interpolator="next_val"), Column("cpu", interpolator="next_val")], 2 * MINUTE)).orderBy("time").collect()
+    assert [(r["time"] - BASE, r["log"], r["cpu"]) for r in got] == [(0, "a", 0.0), (2 * MINUTE, "c", 2.0)]
+
+
+def test_counters(spark):
+    from tempora.streaming.metrics import counted
+
+    df, seen = counted(rows(spark, ("cpu", {}, 5, 1.0), ("log", {}, 9, "x")), "batch")
+    df.collect()
+    assert seen.get == {"samples": 2, "first_t": 5, "last_t": 9, "text_samples": 1}
