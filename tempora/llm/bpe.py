@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from tempora.llm.common import own_cache
+
 CACHE_ENTRIES = 1_000_000
 
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -68,6 +70,8 @@ class Encoder:
         self.folds = self.tokenizer.normalizer is not None
         self.first = _Pieces(self, "", self.folds)
         self.rest = self.first if self.folds else _Pieces(self, " ", False)
+        own_cache("bpe", self.first)
+        own_cache("bpe", self.rest)
 
     def of_text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()

@@ -47,15 +47,28 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "") -> DataFrame:
+    """mapInArrow in short batches; a worker that starts on it keeps the caches of `owner` only."""
     short_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches(owner)
+        yield from f(batches)
 
-def text_bytes() -> F.Column:
-    """The text as UTF-8 bytes, which Python reads without decoding."""
-    return F.col("text").cast("binary").alias("text")
+    return df.mapInArrow(run, schema)
 
 
-def stack(columns: dict, types: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], types[k]) for k in types], names=list(types))
+_CACHES: dict[str, list] = {}
+
+
+def own_cache(owner: str, cache: dict) -> None:
+    """Counts a cache of a worker process to an operator family."""
+    _CACHES.setdefault(owner, []).append(cache)
+
+
+def only_caches(owner: str) -> None:
+    """Empties the caches of other families: a worker serves one stage after the other and needn't hold what an earlier one has looked up."""
+    for name, caches in _CACHES.items():
+        if name != owner:
+            for c in caches:
+                c.clear()

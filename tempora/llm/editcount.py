@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.bpe import _ODD_SPACE, CACHE_ENTRIES, Encoder, encoder
-from tempora.llm.common import map_arrow
+from tempora.llm.common import map_arrow, own_cache
 
 #: How many characters behind its own end a pre-token's cut may depend on.
 CONTEXT = 2
@@ -49,6 +49,8 @@ class Leaves:
     def __init__(self, enc: Encoder, pattern: regex.Pattern) -> None:
         self.counts, self.pattern = _Counts(enc), pattern
         self.first, self.rest = _Stretches(self, ""), _Stretches(self, " ")
+        for cache in (self.counts, self.first, self.rest):
+            own_cache("bpe", cache)
 
     def cut(self, text: str) -> np.ndarray:
         return np.array([(len(p), self.counts[p]) for p in self.pattern.findall(text)], "<i4").reshape(-1, 2)
@@ -199,7 +201,7 @@ def edit_counts(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
     kind = "array<struct<start:long,stop:long,new:string>>"
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast(kind)), run, ", ".join(f"{n} long" for n in names))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast(kind)), run, ", ".join(f"{n} long" for n in names), "bpe")
 
 
 _LEAVES: dict[tuple[str, str], Leaves] = {}

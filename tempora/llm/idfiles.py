@@ -208,7 +208,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    map_arrow(dealt, run, "file binary").select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    map_arrow(dealt, run, "file binary", "bpe").select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                     rows = []
         yield batch(rows + bins.finish())
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA, "bpe")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
