@@ -3,8 +3,8 @@
 Voters are words (a lexicon) and word beginnings (patterns) that a bounded sample of labelled rows suggests. A voter votes on a
 text where it occurs and abstains elsewhere. A generative label model, fitted by expectation maximisation, estimates how often
 each voter fires on either class and, from what is left over, how voters fire together; voters that repeat each other share
-their weight through the inverse of that covariance. Its posteriors are the labels of a linear classifier over the votes, which
-scores every text.
+their weight through the inverse of that covariance. Its posteriors are the labels of a linear classifier over the votes and the
+number and share of the words behind them, which scores every text.
 """
 
 from __future__ import annotations
@@ -28,20 +28,49 @@ MAX_VOTERS = 200
 #: Rows whose crc32(doc_id as text) leaves 0 are held out.
 FOLDS = 5
 PREFIXES = range(4, 10)
+#: A voter may also ask for so many occurrences.
+TIMES = (2, 3)
+#: Brings the share of words that make voters fire to the size of the other features.
+SHARE_SCALE = 20
 #: A voter fires on so many texts and such a share of the toxic class at least, and so many times more often there: of very many
 #: candidates, some look good on a few texts by chance.
 MIN_SUPPORT, MIN_SHARE, MIN_LIFT = 3, 0.025, 8.0
+CACHE_WORDS = 500_000
 #: The label of a row is one more voter, right so often.
-LABEL_ACCURACY = 0.99
+LABEL_ACCURACY = 0.9999
 #: Voters whose votes are so correlated within the classes say the same.
 SAME = 0.3
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def votes(text: str) -> set[str]:
-    """Everything in a text that could be a voter: its words, and with a hyphen their beginnings."""
-    words = set(_WORDS.findall(text.lower()))
-    return words | {w[:n] + "-" for w in words for n in PREFIXES if len(w) > n}
+    """Everything in a text that could be a voter: its words, with a hyphen their beginnings, and these again with a number where they come that often."""
+    counts: dict[str, int] = {}
+    for w in _WORDS.findall(text.lower()):
+        counts[w] = counts.get(w, 0) + 1
+        for n in PREFIXES:
+            if len(w) <= n:
+                break
+            counts[w[:n] + "-"] = counts.get(w[:n] + "-", 0) + 1
+    return counts.keys() | {f"{w}{n}" for n in TIMES for w, k in counts.items() if k >= n}
+
+
+class _Stems(dict):
+    """Word to the stems of voters that it has, a bounded cache."""
+
+    def __init__(self, stems: dict[str, int]) -> None:
+        super().__init__()
+        self.stems = stems
+
+    def __reduce__(self) -> tuple:
+        return _Stems, (self.stems,)
+
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = (self.stems.get(x) for x in (w, *(w[:n] + "-" for n in PREFIXES if len(w) > n)))
+        self[w] = out = tuple(i for i in found if i is not None)
+        return out
 
 
 @dataclass
@@ -55,24 +84,34 @@ class Model:
     accuracies: np.ndarray
     correlations: np.ndarray
 
-    def fired(self, text: str) -> list[int]:
-        get = self.voters.get
-        found = set()
-        for w in set(_WORDS.findall(text.lower())):
-            if (j := get(w)) is not None:
-                found.add(j)
-            for n in PREFIXES:
-                if len(w) <= n:
-                    break
-                if (j := get(w[:n] + "-")) is not None:
-                    found.add(j)
-        return sorted(found)
+    def fired(self, text: str) -> tuple[list[int], float, float]:
+        """The voters that fire, and the number and the share of the words that make one fire."""
+        words = _WORDS.findall(text.lower())
+        counts, hits = {}, 0
+        for stems in filter(None, map(self.known.__getitem__, words)):
+            hits += 1
+            for own in stems:
+                counts[own] = counts.get(own, 0) + 1
+        voters = [j for own, k in counts.items() for n, j in self.levels[own] if k >= n]
+        return sorted(voters), hits, hits / max(1, len(words))
 
     def score(self, text: str) -> float:
-        fired = self.fired(text)
-        z = self.bias + self.weights[fired].sum()
+        voters, hits, share = self.fired(text)
+        z = self.bias + self.weights[voters].sum()
+        if len(self.weights) > len(self.voters):
+            z += self.weights[-2] * np.log1p(hits) + self.weights[-1] * share * SHARE_SCALE
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
+    def __post_init__(self) -> None:
+        self.stems, self.levels = {}, []
+        for v, j in self.voters.items():
+            stem = v.rstrip("0123456789")
+            i = self.stems.setdefault(stem, len(self.stems))
+            if i == len(self.levels):
+                self.levels.append([])
+            self.levels[i].append((int(v[len(stem) :] or 1), j))
+        self.known = _Stems(self.stems)
+
 
 def _choose(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Voters by how surely they fire on the toxic class more often, and their votes; of several with the same votes, the first by length and name."""
@@ -149,8 +188,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not voters:
         return Model({}, np.zeros(0), 0.0, np.zeros(0), float(np.log(prior / (1 - prior))), prior, np.zeros((2, 0)), np.zeros((0, 0)))
     p, prior, label_bias, label_weights, accuracies, correlations = _label_model(x, y)
-    weights, bias = _linear(x, p)
-    return Model(index, label_weights, label_bias, weights, bias, prior, accuracies, correlations)
+    model = Model(index, label_weights, label_bias, np.zeros(0), 0.0, prior, accuracies, correlations)
+    more = np.array([(np.log1p(hits), share * SHARE_SCALE) for _, hits, share in map(model.fired, texts)])
+    model.weights, model.bias = _linear(np.hstack([x, more]), p)
+    return model
 
 
 def fold(doc_id: int | None) -> int:
@@ -185,7 +226,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [m.score(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d is not None and fold(d) == 0 for d in ids], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, held_out boolean, score double, predicted int", "toxicity")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
