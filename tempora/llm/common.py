@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keeps Arrow batches short, and sees to it that workers have this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
@@ -58,6 +62,23 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once for each application, where they would not find it: the driver has it neither in its folder nor in PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or not root.is_dir() or root in {Path.cwd(), *(Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)}:
+        return
+    _SHIPPED.add(app)
+    to = Path(tempfile.mkdtemp()).resolve() / "tempora.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted((root / "tempora").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(to))
+
+
 _CACHES: dict[str, list] = {}
 
 
