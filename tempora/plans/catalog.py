@@ -45,13 +45,17 @@ def register(name: str, oracle: str | None) -> Callable:
     return keep
 
 
-#: Digits that are kept of what has more than four, so that no value lies half way between two.
-DIGITS = {"stdvar": 9, "rate": 12}
+#: Digits that are kept of what may have five or more, so that no value lies half way between two.
+DIGITS = {"avg": 9, "stdvar": 9, "rate": 12}
+
+
+def digits(name: str) -> int:
+    return DIGITS.get(name.split("(")[0], 4)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     """df with some columns rounded; a count that is null where a group has no sample of the metric is 0."""
-    return df.select(*[F.round(F.col(f"`{c}`"), DIGITS.get(c, 4)).alias(c) if c in names else F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) if c.startswith("count(") else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[F.round(F.col(f"`{c}`"), digits(c)).alias(c) if c in names else F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) if c.startswith("count(") else F.col(f"`{c}`") for c in df.columns])
 
 
 def _simple(name: str, q: Query, oracle: str, drop: tuple[str, ...] = ("labels",), round_: tuple[str, ...] = (), source: Callable = events) -> None:
@@ -86,13 +90,13 @@ _IN = f"FROM ({EVENTS}) WHERE t BETWEEN {START} AND {STOP}"
 
 
 def _columns(*functions: str) -> str:
-    return ", ".join((f"round({_FUNCTIONS[f]}, {DIGITS.get(f, 4)})" if f not in ("count", "min", "max", "last") else _FUNCTIONS[f]) + f" AS {f}" for f in functions)
+    return ", ".join((f"round({_FUNCTIONS[f]}, {digits(f)})" if f not in ("count", "min", "max", "last") else _FUNCTIONS[f]) + f" AS {f}" for f in functions)
 
 
 for _f in _FUNCTIONS:
     _simple(f"agg_interval_{_f}", _all([_f], 7 * DAY), f"SELECT metric, lset, {_K.format(7 * DAY)}, {_columns(_f)} {_IN} GROUP BY ALL", round_=("sum", "sqr", "avg", "stddev", "stdvar"))
 _simple("agg_groupby_label", Query(START, STOP, [Column("click", "sum"), Column("click", "count"), Column("view", "avg")], 2 * DAY, group_by=["user_id"]), f"""
-SELECT lset, {_K.format(2 * DAY)}, round(sum(v) FILTER (metric = 'click'), 4) AS "sum(click)", count(*) FILTER (metric = 'click') AS "count(click)", round(avg(v) FILTER (metric = 'view'), 4) AS "avg(view)"
+SELECT lset, {_K.format(2 * DAY)}, round(sum(v) FILTER (metric = 'click'), 4) AS "sum(click)", count(*) FILTER (metric = 'click') AS "count(click)", round(avg(v) FILTER (metric = 'view'), 9) AS "avg(view)"
 {_IN} AND metric IN ('click', 'view') GROUP BY ALL""", round_=("sum(click)", "avg(view)"))
 _simple("agg_zero_step", Query(START, STOP, [Column("click", "max"), Column("click", "min"), Column("click", "count")]), f"""
 SELECT lset, {START} AS time, max(v) AS "max(click)", min(v) AS "min(click)", count(*) AS "count(click)" {_IN} AND metric = 'click' GROUP BY lset""")
@@ -152,11 +156,11 @@ def _grid_sql(interpolator: str, back: int, where: str = "") -> str:
 for _i in _VALUES:
     _simple(f"downsample_{_i.removesuffix('_val')}", Query(START, STOP, [Column("*", interpolator=_i)], _GRID_STEP), _grid_sql(_i, _TOLERANCE) + "SELECT metric, lset, time, round(value, 4) AS value FROM y WHERE value IS NOT NULL", round_=("value",))
 for _f in ("sum", "min", "max", "avg", "count"):
-    _simple(f"cross_series_{_f}", Query(START, STOP, [Column("*", f"{_f}_all", interpolator="prev_val")], _GRID_STEP), _grid_sql("prev_val", _TOLERANCE) + f"SELECT metric, time, round({_f}(value), 4) AS {_f} FROM y WHERE value IS NOT NULL GROUP BY metric, time", round_=(_f,))
+    _simple(f"cross_series_{_f}", Query(START, STOP, [Column("*", f"{_f}_all", interpolator="prev_val")], _GRID_STEP), _grid_sql("prev_val", _TOLERANCE) + f"SELECT metric, time, round({_f}(value), {digits(_f)}) AS {_f} FROM y WHERE value IS NOT NULL GROUP BY metric, time", round_=(_f,))
 _simple("cross_series_groupby", Query(START, STOP, [Column("click", "sum_all", interpolator="next_val"), Column("view", "count_all", interpolator="next_val")], _GRID_STEP, group_by=["user_id"]), _grid_sql("next_val", _TOLERANCE) + """
 SELECT lset, time, round(sum(value) FILTER (metric = 'click'), 4) AS "sum(click)", count(*) FILTER (metric = 'view') AS "count(view)" FROM y WHERE value IS NOT NULL AND metric IN ('click', 'view') GROUP BY lset, time""", round_=("sum(click)",))
 _simple("mixed_aggregate_raw", Query(START, STOP, [Column("click", "avg", interpolator="next_val"), Column("click", interpolator="next_val")], _GRID_STEP), _grid_sql("next_val", _TOLERANCE, " AND metric = 'click'") + f""",
-a AS (SELECT lset, {_K.format(_GRID_STEP)}, round(sum(v) / count(*), 4) AS c {_IN} AND metric = 'click' GROUP BY ALL)
+a AS (SELECT lset, {_K.format(_GRID_STEP)}, round(sum(v) / count(*), 9) AS c {_IN} AND metric = 'click' GROUP BY ALL)
 SELECT coalesce(a.lset, y.lset) AS lset, coalesce(a.time, y.time) AS time, a.c AS "avg(click)", round(y.value, 4) AS click FROM a FULL JOIN (SELECT * FROM y WHERE value IS NOT NULL) y ON a.lset = y.lset AND a.time = y.time""", round_=("avg(click)", "click"))
 
 # --- rollups
@@ -306,7 +310,7 @@ def _sql(name: str, text: str, step: int, oracle: str, round_: tuple[str, ...] =
 
 
 _sql("sql_aggregate", "select max(click) as top, avg(click), stddev(view) from events where user_id != '3' group by user_id", 5 * DAY, f"""
-SELECT lset, {_K.format(5 * DAY)}, max(v) FILTER (metric = 'click') AS top, round(avg(v) FILTER (metric = 'click'), 4) AS "avg(click)",
+SELECT lset, {_K.format(5 * DAY)}, max(v) FILTER (metric = 'click') AS top, round(avg(v) FILTER (metric = 'click'), 9) AS "avg(click)",
 CASE WHEN count(*) FILTER (metric = 'view') > 1 THEN round(stddev_samp(v) FILTER (metric = 'view'), 4) END AS "stddev(view)" {_IN} AND metric IN ('click', 'view') AND usr <> '3' GROUP BY ALL""", ("avg(click)", "stddev(view)"))
 _sql("sql_interpolated", "select sum_all(prev_val(error, '1d')) as errors from events", DAY, (_grid_sql("prev_val", DAY, " AND metric = 'error'") + "SELECT time, round(sum(value), 4) AS errors FROM y WHERE value IS NOT NULL GROUP BY time").replace(f"time - t0 <= {_TOLERANCE}", f"time - t0 <= {DAY}"), ("errors",))
 _sql("sql_raw", "select click from events where user_id in ('1', '2')", 0, f"SELECT lset, t AS time, v AS click {_IN} AND metric = 'click' AND usr IN ('1', '2')")
