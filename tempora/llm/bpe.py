@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -19,7 +21,9 @@ CACHE_ENTRIES = 1_000_000
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_PUNCTUATION = frozenset(".,;:!?")
+#: Pieces of letters, other ASCII signs but the apostrophe, and single line breaks: each run is a pre-token.
+_PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++|[!-&(-/:-@\[-`{-~]{1,8}+(?![!-&(-/:-@\[-`{-~])|\n(?!\s)")
+_PARTS = re.compile(rf"(?:{_PART.pattern})++")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,25 +41,48 @@ def _spelled(word: str) -> str:
 
 
 class _Pieces(dict):
-    """Piece to the bytes of its ids; looks up what is missing."""
+    """Piece to the bytes of its ids; looks up what is missing.
+
+    A full cache becomes the older half, of which what is asked for again moves to the new one: words that texts repeat stay.
+    """
 
     def __init__(self, owner: Encoder, space: str, fold: bool) -> None:
         super().__init__()
         self.owner, self.space, self.fold, self.lead = owner, space, fold, _LETTERS[32] if space else ""
+        self.older: dict[str, bytes] = {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES // 2:
+            older = dict(self)
             self.clear()
-        if _LATIN.fullmatch(piece):
+            self.older = older
+        if (found := self.older.get(piece)) is not None:
+            pass
+        elif _LATIN.fullmatch(piece):
             found = self.owner.of_word(self.lead + _spelled(piece.lower() if self.fold else piece))
-        elif piece[-1:] in _PUNCTUATION and _LATIN.fullmatch(piece, 0, len(piece) - 1):
-            found = self[piece[:-1]] + self.owner.of_text(piece[-1])
+        elif _PARTS.fullmatch(piece):
+            found = b"".join([self._part(m[0], not m.start()) for m in _PART.finditer(piece)])
         else:
             found = self.owner.of_text(self.space + piece)
         self[piece] = found
         return found
 
 
+    def _part(self, part: str, first: bool) -> bytes:
+        """A run of letters, of signs, or a line break; the first one of a piece has the space before it."""
+        own = self if first else self.owner.first
+        if _LATIN.match(part):
+            return own[part]
+        signs = (self.space if first else "") + part
+        if (found := self.owner.signs.get(signs)) is None:
+            found = self.owner.signs[signs] = self.owner.of_text(signs)
+        return found
+
+
 class Encoder:
     """encode(text) gives the ids of the whole text as little-endian unsigned integers of `dtype`, without special tokens."""
 
@@ -66,18 +93,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         #: A tokenizer that normalizes here drops white space and letter case; the other keeps one space with the word after it.
         self.folds = self.tokenizer.normalizer is not None
+        self.signs: dict[str, bytes] = {}
         self.first = _Pieces(self, "", self.folds)
         self.rest = self.first if self.folds else _Pieces(self, " ", False)
+        own_cache("bpe", self.signs)
         own_cache("bpe", self.first)
         own_cache("bpe", self.rest)
 
     def of_text(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def of_word(self, spelled: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.folds:
