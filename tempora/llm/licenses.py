@@ -2,13 +2,15 @@
 
 Lines with a word that license notices use are candidates; neighbouring ones form a block. Each block is compressed alone and
 with each template as a raw dictionary: a block that repeats a template's wording shrinks most with that one. Templates are
-ranked by the reduction, and the winner counts only if its words, compared exactly, are in the block.
+ranked by the reduction; all of them are compared word by word, as a short notice in much prose hardly changes the block's size,
+and the one with most words in the block, then fewest missing, counts.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,8 +40,8 @@ _MARK = re.compile("licen|copyright|permission|redistribut|warrant", re.IGNORECA
 _WORD = re.compile(r"[A-Za-z0-9.]*[A-Za-z0-9]")
 #: A line longer than this is a candidate only around its marks.
 LINE_CHARS = 600
-#: A template is looked at from this reduction on, and confirmed if this share of its words is in the block in their order.
-MIN_REDUCTION, MIN_WORDING = 0.20, 0.85
+#: A template is confirmed if this share of its words is in the block in their order.
+MIN_WORDING = 0.85
 LEVEL = 3
 
 
@@ -64,6 +66,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str]) -> None:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
         self.words = {k: [w.lower() for w in _WORD.findall(v)] for k, v in templates.items()}
+        self.counts = {k: Counter(v) for k, v in self.words.items()}
         self.given = {k: zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
@@ -76,6 +79,8 @@ class Scanner:
         """Where the template's words lie in the block, which of its words are missing there, and which words are between them that it lacks."""
         found = list(_WORD.finditer(block))
         theirs, own = self.words[name], [m[0].lower() for m in found]
+        if (self.counts[name] & Counter(own)).total() < MIN_WORDING * len(theirs):
+            return None  # in no order are there enough
         same = [s for s in difflib.SequenceMatcher(None, theirs, own, autojunk=False).get_matching_blocks() if s.size]
         matched = sum(s.size for s in same)
         if matched < MIN_WORDING * len(theirs):
@@ -93,10 +98,8 @@ class Scanner:
                 block = text[a:b]
                 best = None
                 for reduction, name in self.ranked(block):
-                    if reduction < MIN_REDUCTION and not len(block) > 4 * len(" ".join(self.words[name])):
-                        break
-                    if (where := self.confirm(block, name)) and (best is None or len(self.words[name]) - where[2] > best[0]):
-                        best = len(self.words[name]) - where[2], name, reduction, where
+                    if (where := self.confirm(block, name)) and (best is None or (len(self.words[name]) - where[2], -where[2]) > best[0]):
+                        best = (len(self.words[name]) - where[2], -where[2]), name, reduction, where
                 if best:
                     _, name, reduction, (s, e, missing, added) = best
                     out.append((a + s, a + e, name, reduction, missing, added))

@@ -284,6 +284,17 @@ def test_licenses(spark):
     assert licenses.digest(licenses.licenses(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+def test_notices_in_prose():
+    scanner, words = licenses.Scanner(licenses.TEMPLATES), "the report of the harbour speaks about wind and tides and boats in winter ".split()
+    for name, notice in licenses.TEMPLATES.items():
+        for n in range(60, 1201, 12):
+            rnd = random.Random(n)
+            prose = " ".join(rnd.choice(words) for _ in range(n))[:n]
+            for before, behind in ((prose, ""), ("", prose), (prose[: n // 2], prose[n // 2 :])):
+                _, own = scanner.scan(f"{before} {notice} {behind}")
+                assert [(x[0], x[2], x[4], x[5]) for x in own] == [(len(before) + 1, name, 0, 0)], (name, n)
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels, 3000).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
