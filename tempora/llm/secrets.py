@@ -4,14 +4,17 @@ A text is a layer; so is everything that URL escapes, Unicode escapes, base64 or
 Each layer keeps, for each of its characters, the span of the original text that it comes from. Layers wait in a worklist until
 no new one turns up; a layer whose content and place were seen before isn't taken again, so chains that decode to themselves
 end. Each layer is scanned with the same patterns and what is found is mapped to the original text.
+
+A run of base64 letters may be glued to other letters and broken over lines: it is decoded from each of its first four letters,
+by itself and joined with the runs of the lines around it, and whatever is text or a compressed stream in there is a layer.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
@@ -32,13 +35,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KEYS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
-#: Runs that may be base64 have so many letters; a compressed layer may unwrap to so many bytes, which bounds memory.
-MIN_BASE64 = 16
+#: Runs that may be base64 have so many letters; the shortest match (token=abcdef) has so many characters, and 16 letters of base64.
+MIN_BASE64, MIN_STRETCH = 16, 12
+#: A decompressor may take so many bytes of memory.
 MAX_UNWRAPPED = 1 << 28
+#: What a compressed stream holds is scanned in pieces of so many bytes, each with so many of the piece before it.
+PIECE, OVERLAP = 1 << 24, 1 << 20
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+_LINE_BREAK = r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*+"
+_BREAK = re.compile(_LINE_BREAK)
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_LINE_BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_BROKEN = re.compile(rb"[A-Za-z0-9+/_-][ \t]*+[\r\n]")
+_STANDARD = str.maketrans("-_", "+/")
+_CHARACTERS = rb"(?:[\t\n\r\x20-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})"
+_STRETCH = re.compile(_CHARACTERS + b"{%d,}+" % MIN_STRETCH)
+_PACKED = re.compile(rb"(\x1f\x8b\x08)|(\x78[\x01\x5e\x9c\xda])|(BZh[1-9])|(\xfd7zXZ\x00)|(\x28\xb5\x2f\xfd)")
 
 _TYPES = {"doc_id": pa.int64(), "n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "n_layers": pa.int64()}
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
@@ -114,39 +128,76 @@ def _unicode(match: str) -> list[tuple[str, int, int]] | None:
     return [(chr(code), 0, len(match))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2, xz or zstandard has compressed; None if it is none of them."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_UNWRAPPED)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_UNWRAPPED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_UNWRAPPED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=MAX_UNWRAPPED).decompress(data, MAX_UNWRAPPED)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+class _Stream(io.RawIOBase):
+    """What compressed members that follow each other hold; one that is cut or damaged ends where it is."""
+
+    def __init__(self, kind: int, source: io.BufferedReader) -> None:
+        self.source, self.rest, self.broken = source, b"", False
+        self.make = (
+            lambda: zlib.decompressobj(31),
+            zlib.decompressobj,
+            bz2.BZ2Decompressor,
+            lambda: lzma.LZMADecompressor(memlimit=MAX_UNWRAPPED),
+            None,
+        )[kind]
+        if self.make:
+            self.now = self.make()
+        else:
             import zstandard
 
-            return zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data).read(MAX_UNWRAPPED)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    except Exception as e:  # zstandard's own error, without importing it for all texts
-        if type(e).__name__ != "ZstdError":
-            raise
-    return None
-
-
-def _decoded(run: str) -> bytes | None:
-    """The bytes of a base64 run, in either alphabet, that are text or compressed data."""
-    run = run.rstrip("=")
-    if len(run) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-    except binascii.Error:
-        return None
-    return data if _text(data) or _unpack(data) is not None else None
+            self.frames = zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(source, read_across_frames=True)
+
+    def readable(self) -> bool:
+        return True
+
+    def _next(self, n: int) -> bytes:
+        if not self.make:
+            return self.frames.read(n)
+        while True:
+            if self.now.eof:
+                self.rest = self.now.unused_data or self.source.read1(1 << 14)
+                if not self.rest:
+                    return b""
+                self.now = self.make()
+            elif not self.rest and getattr(self.now, "needs_input", True):
+                self.rest = self.source.read1(1 << 14)
+                if not self.rest:
+                    self.broken = True
+                    return self.now.flush() if hasattr(self.now, "flush") else b""
+            out = self.now.decompress(self.rest, n)
+            self.rest = getattr(self.now, "unconsumed_tail", b"")
+            if out:
+                return out
+
+    def readinto(self, into: memoryview) -> int:
+        try:
+            out = b"" if self.broken else self._next(len(into))
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            out, self.broken = b"", True
+        except Exception as e:  # zstandard's own error, without importing it for all texts
+            if type(e).__name__ != "ZstdError":
+                raise
+            out, self.broken = b"", True
+        into[: len(out)] = out
+        return len(out)
+
+
+def _unpacked(data: bytes) -> tuple[Iterator[bytes], _Stream]:
+    """Pieces of what the stream at the start of data holds, through all compression, and the outermost stream."""
+    source, outer = io.BufferedReader(io.BytesIO(data)), None
+    while m := _PACKED.match(source.peek(8)[:8]):
+        head, stream = source.peek(1 << 12)[: 1 << 12], _Stream(m.lastindex - 1, source)
+        source, outer = io.BufferedReader(stream, 1 << 16), outer or stream
+        if source.peek(1 << 12)[: 1 << 12] == head:
+            break  # it holds itself
+
+    def pieces() -> Iterator[bytes]:
+        held = b""
+        while got := source.read(PIECE):
+            held = held[-OVERLAP:] + got
+            yield held
+
+    return pieces(), outer
 
 
 def _text(data: bytes) -> str | None:
@@ -157,27 +208,53 @@ def _text(data: bytes) -> str | None:
     return None if any(c < " " and c not in "\t\n\r" for c in text) else text
 
 
+def _stretches(data: bytes, short: bool = False) -> Iterator[tuple[str, int]]:
+    """The stretches of text that are long enough for a match, and where each starts; all of data, however short, if asked for."""
+    if short and len(data) < 4 * MIN_STRETCH and (text := _text(data)):
+        yield text, 0
+    else:
+        for m in _STRETCH.finditer(data):
+            yield m[0].decode(), m.start()
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int, bool]]:
+    """Runs of base64 letters, the place of each letter, where the run ends, and False for the part of a longer one."""
+    wrapped, inside = [m for m in _WRAPPED.finditer(text) if len(m[0]) >= MIN_BASE64], set()
+    for w in wrapped:
+        run = w[0].rstrip("=")
+        cuts = [0, *(x for m in _BREAK.finditer(run) for x in m.span()), len(run)]
+        spans = list(zip(cuts[::2], cuts[1::2], strict=True))
+        inside.update(w.start() + a for a, _ in spans)
+        letters = "".join(run[a:b] for a, b in spans)
+        if len(letters) >= MIN_BASE64:
+            yield letters, w.start() + np.concatenate([np.arange(a, b) for a, b in spans]), w.end(), True
+    for m in _BASE64.finditer(text):
+        run = m[0].rstrip("=")
+        yield run, np.arange(m.start(), m.start() + len(run)), m.end(), m.start() not in inside
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    """Layers of the base64 runs that hold text, or compressed data that unpacks to text."""
-    for m in _BASE64.finditer(layer.text):
-        run, data = m[0].rstrip("="), _decoded(m[0])
-        if data is None:
-            continue
-        whole, packed = False, _unpack(data)
-        while packed is not None and packed != data:
-            whole, data = True, packed
-            packed = _unpack(data)
-        text = _text(data)
-        if not text:
-            continue
-        a, b = m.start(), m.end()
-        if whole:
-            yield Layer(text, np.full(len(text), layer.starts[a]), np.full(len(text), layer.ends[b - 1]))
-            continue
-        sizes = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
-        stop = np.cumsum(sizes)
-        first, last = (stop - sizes) * 8 // 6, np.minimum(-(-stop * 8 // 6), len(run))
-        yield Layer(text, layer.starts[a + first], layer.ends[a + last - 1])
+    """Layers of the text, and of compressed streams' text, in base64 runs."""
+    for run, at, end, whole in _runs(layer.text):
+        for k in range(min(4, len(run) - MIN_BASE64 + 1)):
+            part = run[k : len(run) - ((len(run) - k) % 4 == 1)].translate(_STANDARD)
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            for text, begin in _stretches(data, k == 0):
+                sizes = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
+                stop = begin + np.cumsum(sizes)
+                first, last = k + (stop - sizes) * 8 // 6, k + np.minimum(-(-stop * 8 // 6), len(part))
+                yield Layer(text, layer.starts[at[first]], layer.ends[at[last - 1]])
+            done = set()
+            for m in _PACKED.finditer(data) if whole else ():
+                if m.lastindex in done:
+                    continue  # a later member of a stream that was read to its end
+                pieces, stream = _unpacked(data[m.start() :])
+                a, b = layer.starts[at[k + m.start() * 8 // 6]], layer.ends[end - 1]
+                for piece in pieces:
+                    for text, _ in _stretches(piece, True):
+                        yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)))
+                if not stream.broken and m.lastindex != 2:
+                    done.add(m.lastindex)
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -201,6 +278,11 @@ def layers(text: str) -> Iterator[Layer]:
             work.extend(unwrapped(layer))
 
 
+def _holds(run: str) -> bool:
+    at = np.arange(len(run))
+    return next(_base64(Layer(run, at, at + 1)), None) is not None
+
+
 def plain(utf8: bytes) -> bool:
     """True if a text can't hold a match nor an encoded layer: the words that could are too short, and the signs are missing."""
     if b"%" in utf8 and re.search(rb"%[0-9A-Fa-f]{2}", utf8) or b"\\" in utf8 or b"&#" in utf8 or b"AKIA" in utf8:
@@ -212,8 +294,10 @@ def plain(utf8: bytes) -> bool:
         if len(w) >= MIN_BASE64 and not w.isalpha():
             if _BASE64.search(w.decode()) or HEX.search(w.decode()):
                 return False
-        elif len(w) >= MIN_BASE64 and (len(w) >= MIN_HEX and HEX.search(w.decode()) or _decoded(w.decode())):
+        elif len(w) >= MIN_BASE64 and (len(w) >= MIN_HEX and HEX.search(w.decode()) or _holds(w.decode())):
             return False
+    if _BROKEN.search(utf8):
+        return not any(len(m[0]) >= MIN_BASE64 and _holds(m[0]) for m in _WRAPPED.finditer(utf8.decode()))
     return True
 
 

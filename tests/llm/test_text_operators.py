@@ -1,8 +1,10 @@
 """The operators that look at one text at a time, against brute force."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -12,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+import zstandard
 
 from tempora.llm import editcount, idfiles, licenses, packing, quality, secrets, toxicity
 from tempora.llm.bpe import encoder
@@ -284,6 +287,41 @@ def test_licenses(spark):
     assert licenses.digest(licenses.licenses(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+def test_base64_that_is_glued_or_wrapped_or_in_members():
+    b64 = lambda b: base64.b64encode(b).decode()
+    lines = lambda t, n=76: "\n".join(t[i : i + n] for i in range(0, len(t), n))
+    secret, noise = b"password=hunter2hunter2", hashlib.sha512(b"x").hexdigest().encode().translate(bytes.maketrans(b"0123456789abcdef", b"ghijklmnopqrstuv"))
+    long = noise[:51] + b" " + secret + b" " + noise
+    packers = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}
+    texts = [f"{p}{b64(secret)}{q}" for p in ("https://h.io/reset/", "id_", "a-", "ab+", "abc/d") for q in ("", " end", "/x", "_yz")]
+    texts += [b64(secret).rstrip("=") + "x" * n for n in range(5)]
+    texts += [lines(b64(long)), lines(b64(long)).replace("\n", "\r\n  "), lines(b64(long)).replace("\n", "\\n"), "key-----\n" + lines(b64(long), 64) + "\n-----END", b64(b"\x00\x01\xff\xfe" + secret + b"\x00")]
+    for name, pack in packers.items():
+        texts += [f"see id_{b64(pack(long))}", f"head\n{lines(b64(pack(noise * 3 + long)))}\ntail", f"x/{b64(pack(noise) + pack(long))}"]
+        texts += [b64(pack(noise + b" passw") + pack(b"ord=hunter2hunter2 "))] if name != "zlib" else []
+    texts += [b64(gzip.compress(bz2.compress(long)))]
+    for t in texts:
+        text = f"é before {t} after"
+        assert not secrets.plain(text.encode()), t
+        base, spans, _ = secrets.scan(text)
+        assert not base and any(k == 0 for _, k, _ in spans), t
+        assert all(9 <= a < b <= 9 + len(t) + len(" after") for a, _, b in spans), t
+        assert secrets.hidden(text.encode()) != text.encode()
+    a, _, b = secrets.scan("https://h.io/reset/" + b64(secret))[1][0]
+    assert (a, b) == (19, 19 + len(b64(secret).rstrip("=")))
+    # a run over lines maps to all of its lines
+    a, _, b = max(secrets.scan(lines(b64(long)))[1], key=lambda x: x[2] - x[0])
+    assert a < 76 < b
+
+
+def test_streams_longer_than_a_piece(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for at in (0, 950, 990, 1000, 5000, 123_456):
+        packed = base64.b64encode(gzip.compress(b"- " * (at // 2) + b" password=hunter22 " + b"- " * 3000)).decode()
+        assert [k for _, k, _ in secrets.scan(packed)[1]] == [0], at
+
+
 def test_notices_in_prose():
     scanner, words = licenses.Scanner(licenses.TEMPLATES), "the report of the harbour speaks about wind and tides and boats in winter ".split()
     for name, notice in licenses.TEMPLATES.items():
