@@ -78,6 +78,13 @@ SELECT metric, lset, t AS time, v AS value FROM ({EVENTS}) WHERE starts_with(met
 _simple("align_metrics", Query(START, STOP, [Column("click", alias="c"), Column("view"), Column("purchase")], filter="user_id < 20"), f"""
 SELECT lset, t AS time, max(v) FILTER (metric = 'click') AS c, max(v) FILTER (metric = 'view') AS view, max(v) FILTER (metric = 'purchase') AS purchase
 FROM ({EVENTS}) WHERE metric IN ('click', 'view', 'purchase') AND CAST(usr AS BIGINT) < 20 GROUP BY lset, t""")
+# the two above over all events
+_simple("raw_select_whole", Query(START, STOP, [Column("click"), Column("view")]), f"""
+SELECT lset, t AS time, max(v) FILTER (metric = 'click') AS click, max(v) FILTER (metric = 'view') AS view FROM ({EVENTS})
+WHERE metric IN ('click', 'view') AND t BETWEEN {START} AND {STOP} GROUP BY lset, t""")
+_simple("align_metrics_whole", Query(START, STOP, [Column("click", alias="c"), Column("view"), Column("purchase")]), f"""
+SELECT lset, t AS time, max(v) FILTER (metric = 'click') AS c, max(v) FILTER (metric = 'view') AS view, max(v) FILTER (metric = 'purchase') AS purchase
+FROM ({EVENTS}) WHERE metric IN ('click', 'view', 'purchase') AND t BETWEEN {START} AND {STOP} GROUP BY lset, t""")
 
 # --- cells
 
@@ -301,6 +308,12 @@ def _table_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_stored(spark, sf_dir).select(Query(START, START + 6 * DAY, [Column("click", "sum")], DAY)).drop("labels"), "sum(click)")
 
 
+
+@register("table_select_whole", f"SELECT lset, {_K.format(DAY)}, round(sum(v), 4) AS \"sum(click)\" {_IN} AND metric = 'click' GROUP BY ALL")
+def _table_select_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_stored(spark, sf_dir).select(Query(START, STOP, [Column("click", "sum")], DAY)).drop("labels"), "sum(click)")
+
+
 # --- SQL and other tables
 
 
@@ -314,6 +327,7 @@ SELECT lset, {_K.format(5 * DAY)}, max(v) FILTER (metric = 'click') AS top, roun
 CASE WHEN count(*) FILTER (metric = 'view') > 1 THEN round(stddev_samp(v) FILTER (metric = 'view'), 4) END AS "stddev(view)" {_IN} AND metric IN ('click', 'view') AND usr <> '3' GROUP BY ALL""", ("avg(click)", "stddev(view)"))
 _sql("sql_interpolated", "select sum_all(prev_val(error, '1d')) as errors from events", DAY, (_grid_sql("prev_val", DAY, " AND metric = 'error'") + "SELECT time, round(sum(value), 4) AS errors FROM y WHERE value IS NOT NULL GROUP BY time").replace(f"time - t0 <= {_TOLERANCE}", f"time - t0 <= {DAY}"), ("errors",))
 _sql("sql_raw", "select click from events where user_id in ('1', '2')", 0, f"SELECT lset, t AS time, v AS click {_IN} AND metric = 'click' AND usr IN ('1', '2')")
+_sql("sql_raw_whole", "select click from events", 0, f"SELECT lset, t AS time, v AS click {_IN} AND metric = 'click'")
 
 _LINES = "SELECT l_returnflag AS metric, 'linestatus=' || l_linestatus AS lset, epoch_us(l_shipdate) // 1000 AS t, l_extendedprice AS v FROM lineitem"
 _L0, _L1 = 694_224_000_000, 946_684_800_000  # 1992 to 2000
