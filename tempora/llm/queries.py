@@ -48,9 +48,13 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(read_documents(spark, sf_dir))
 
 
+def op9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(read_documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.copies(read_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_counts, op2_packing, op3_id_files, op4_licenses, op5_quality, op6_secrets, op7_simhash, op8_toxicity, op9_jaccard, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_edit_counts, op2_packing, op3_id_files, op4_licenses, op5_quality, op6_secrets, op7_simhash, op8_toxicity, op9_jaccard, op9_links, op10_mixing)}
 ORACLES = {"op5_quality": quality.ORACLE, "op9_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}

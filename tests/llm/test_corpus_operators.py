@@ -103,6 +103,29 @@ def test_jaccard_boundary_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(60)] == brute_components(sets)
 
 
+@pytest.mark.parametrize("block", [3, 400])
+def test_jaccard_links(spark, monkeypatch, block):
+    """Every link of groups of near copies, whatever the blocks, and copies counted."""
+    monkeypatch.setattr(jaccard, "BLOCK_POINTS", block)
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(80)]
+    texts = [*variants(6, 6), *(" ".join(w if j != 3 * i else "new" for j, w in enumerate(base)) for i in range(25)), " ".join(base), " ".join(base)]
+    rnd.shuffle(texts)
+    sets = brute_sets(texts)
+    like = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = [0] * len(sets)
+    for a, b in like:
+        want[a], want[b] = want[a] + 1, want[b] + 1
+    docs = table(spark, texts, repeat=False, null_id=False)
+    got = {r["doc_id"]: (r["n_shingles"], r["n_links"]) for r in jaccard.link_counts(docs).collect()}
+    assert got == {i: (len(x), n) for i, (x, n) in enumerate(zip(sets, want, strict=True))}
+    members, pairs = jaccard.links(docs)
+    point = {r["doc_id"]: r["point"] for r in members.collect()}
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == {tuple(sorted((point[a], point[b]))) for a, b in like if point[a] != point[b]}
+    assert jaccard.link_counts(table(spark, [], null_id=False)).count() == 0
+
+
 def test_jaccard_edges(spark):
     empty = table(spark, [], null_id=False)
     assert jaccard.components(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
