@@ -47,15 +47,16 @@ def source_rates(sized: DataFrame) -> DataFrame:
 
 
 def draw(seed: str = SEED) -> F.Column:
-    """A number in [0, 1) that depends on the seed and doc_id only: 52 bits of a hash."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    """A number in [0, 1) that depends on the seed and doc_id only, or on the source and text of a row without an id: 52 bits of a hash."""
+    unnamed = F.concat(F.coalesce(F.md5(F.col("source").cast("string")), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), unnamed))), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix emits the row).
 
     Null and empty texts have size 0. A null source is a source of its own, the last. Repeated rows of one id have the same draw
-    and so the same number of copies. Other columns stay as they are, but for those named like the added ones, which are
+    and so the same number of copies; so have rows without an id that are equal in source and text. Other columns stay as they are, but for those named like the added ones, which are
     replaced. An empty table gives no rows. The rates are summed before anything is shuffled, and a source's rows are never
     brought together: the join is by source against one row each, small enough to be broadcast or split where it is skewed.
     """

@@ -231,6 +231,17 @@ def test_mixing(spark):
     assert mixing.copies(table(spark, [None, ""])).agg(F.sum("size")).first()[0] == 6
 
 
+def test_mixing_without_ids(spark):
+    """Rows without an id are drawn one by one and meet the source's target together."""
+    rows = [(None, f"{i} " + "w " * (i % 30), "a" if i % 3 else "b") for i in range(3000)]
+    docs = spark.createDataFrame([*rows, *[(i, "w " * (i % 30), "a") for i in range(1500)]], "doc_id long, text string, source string").repartition(4)
+    got = mixing.copies(docs)
+    for r in got.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] / r["target"] - 1) < 0.05, r
+    parts = {r["source"]: r["kinds"] for r in got.where("doc_id IS NULL").groupBy("source").agg(F.countDistinct("copies").alias("kinds")).collect()}
+    assert 2 in parts.values()
+
+
 def spark_hash(*longs):
     h = 42
     for x in longs:
