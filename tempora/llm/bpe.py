@@ -16,7 +16,8 @@ import numpy as np
 
 from tempora.llm.common import own_cache
 
-CACHE_ENTRIES = 1_000_000
+#: Pieces that a cache holds at most, with its older half, and the longest piece that is kept: about 150 MB in a worker.
+CACHE_ENTRIES, KEPT_CHARS = 900_000, 32
 
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -68,10 +69,10 @@ class _Pieces(dict):
             found = b"".join([self._part(m[0], not m.start()) for m in _PART.finditer(piece)])
         else:
             found = self.owner.of_text(self.space + piece)
-        self[piece] = found
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = found
         return found
 
-
     def _part(self, part: str, first: bool) -> bytes:
         """A run of letters, of signs, or a line break; the first one of a piece has the space before it."""
         own = self if first else self.owner.first
@@ -79,6 +80,8 @@ class _Pieces(dict):
             return own[part]
         signs = (self.space if first else "") + part
         if (found := self.owner.signs.get(signs)) is None:
+            if len(self.owner.signs) >= CACHE_ENTRIES // 8:
+                self.owner.signs.clear()
             found = self.owner.signs[signs] = self.owner.of_text(signs)
         return found
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -89,7 +92,16 @@ def own_cache(owner: str, cache: dict) -> None:
 
 def only_caches(owner: str) -> None:
     """Empties the caches of other families: a worker serves one stage after the other and needn't hold what an earlier one has looked up."""
-    for name, caches in _CACHES.items():
-        if name != owner:
-            for c in caches:
-                c.clear()
+    held = [c for name, caches in _CACHES.items() if name != owner for c in caches if c]
+    for c in held:
+        c.clear()
+    if held:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

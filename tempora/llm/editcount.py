@@ -37,7 +37,7 @@ class _Counts(dict):
         if len(self) >= CACHE_ENTRIES // 4:
             self.clear()
         # a leading space makes the rest of the piece the word that the encoder's cache has
-        ids = self.enc.rest.__missing__(piece[1:]) if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else self.enc.of_text(piece)
+        ids = self.enc.rest[piece[1:]] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else self.enc.of_text(piece)
         self[piece] = found = len(ids) // self.enc.dtype.itemsize
         return found
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.bpe import encoder
-from tempora.llm.common import map_arrow, shared_path, short_batches, written
+from tempora.llm.common import map_arrow, shared_path, written
 
 MAGIC = b"TPFORv01"
 BLOCK = 1024
@@ -189,8 +189,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     """Encodes all texts and writes their ids to files below path in ascending doc_id order.
 
     Null and empty texts are the end id alone; a null doc_id comes first; rows that share an id follow each other, equal ones
-    side by side; other columns are ignored; an empty table gives no documents. Rows are dealt by ranges of doc_id, so each
-    worker writes one stretch of the order; a worker holds one file's packed ids and, besides, one document.
+    side by side; other columns are ignored; an empty table gives no documents. Rows are dealt by ranges of doc_id and a hash of
+    the text, so each worker writes one stretch of the order, and rows that share an id needn't meet; a worker holds one file's
+    packed ids and, besides, one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +207,17 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             yield pa.RecordBatch.from_arrays([pa.array([file.finish()], pa.binary())], names=["file"])
 
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     map_arrow(dealt, run, "file binary", "bpe").select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of the files below path: partition, sequence, place (in the file), doc_id, ids (little-endian unsigned 32-bit), file_start (ids before it in its file), file_ids (all of the file)."""
+    """The documents of the files below path: partition, sequence, place (in the file), doc_id, ids (little-endian unsigned 32-bit), file_start (ids before it in its file), file_ids (all of the file).
+
+    A document of null or empty text has the end id alone; a null doc_id comes back null; rows that were equal come back one by
+    one; a folder without files gives no rows; a file of another kind is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["partition", "sequence", "place", "doc_id", "ids", "file_start", "file_ids"]
@@ -226,9 +231,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                         rows = []
 
-    short_batches(spark)
+    # what the tokenizer has looked up while files were written isn't wanted any more
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "partition long, sequence long, place long, doc_id long, ids binary, file_start long, file_ids long")
+    return map_arrow(files, run, "partition long, sequence long, place long, doc_id long, ids binary, file_start long, file_ids long", "ids")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
@@ -247,7 +252,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, **options: int) -> DataFrame:
-    """Writes the files and gives digest() of them."""
+    """Writes the files and gives digest() of them; null, empty, equal and no rows as in write_ids."""
     path = path or shared_path(docs.sparkSession, "ids")
     write_ids(docs, path, tokenizer, **options)
     return digest(docs.sparkSession, path)
