@@ -16,14 +16,16 @@ import numpy as np
 
 from tempora.llm.common import own_cache
 
-#: Pieces that a cache holds at most, with its older half, and the longest piece that is kept: about 150 MB in a worker.
-CACHE_ENTRIES, KEPT_CHARS = 900_000, 32
+#: Pieces that a cache holds at most, with its older half, and the longest piece that is kept: about 120 MB in a worker.
+CACHE_ENTRIES, KEPT_CHARS = 700_000, 32
 
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Pieces of letters, other ASCII signs but the apostrophe, and single line breaks: each run is a pre-token.
 _PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++|[!-&(-/:-@\[-`{-~]{1,8}+(?![!-&(-/:-@\[-`{-~])|\n(?!\s)")
+#: Letters of _LATIN, and signs that often stand behind a word.
+_LETTER_SET, _SIGN_SET = frozenset(chr(c) for c in range(256) if _LATIN.match(chr(c))), frozenset(".,;:!?")
 _PARTS = re.compile(rf"(?:{_PART.pattern})++")
 
 
@@ -57,12 +59,21 @@ class _Pieces(dict):
         self.older = {}
 
     def __missing__(self, piece: str) -> bytes:
+        # a word with a sign behind it, and words with a line break between them, are so many that the cache has their parts only
+        if len(piece) > 1 and piece[-1] in _SIGN_SET and piece[-2] in _LETTER_SET:
+            return self[piece[:-1]] + self.owner.sign(piece[-1])
+        if "\n" in piece:
+            left, _, right = piece.partition("\n")
+            if left and right and right[0] in _LETTER_SET and (left[-1] in _LETTER_SET or left[-1] in _SIGN_SET):
+                return self[left] + self.owner.sign("\n") + self.owner.first[right]
         if len(self) >= CACHE_ENTRIES // 2:
             older = dict(self)
             self.clear()
             self.older = older
         if (found := self.older.get(piece)) is not None:
             pass
+        elif piece.isascii() and piece.isalpha():
+            found = self.owner.of_word(self.lead + (piece.lower() if self.fold else piece))
         elif _LATIN.fullmatch(piece):
             found = self.owner.of_word(self.lead + _spelled(piece.lower() if self.fold else piece))
         elif _PARTS.fullmatch(piece):
@@ -78,12 +89,7 @@ class _Pieces(dict):
         own = self if first else self.owner.first
         if _LATIN.match(part):
             return own[part]
-        signs = (self.space if first else "") + part
-        if (found := self.owner.signs.get(signs)) is None:
-            if len(self.owner.signs) >= CACHE_ENTRIES // 8:
-                self.owner.signs.clear()
-            found = self.owner.signs[signs] = self.owner.of_text(signs)
-        return found
+        return self.owner.sign((self.space if first else "") + part)
 
 
 class Encoder:
@@ -106,6 +112,14 @@ class Encoder:
         own_cache("bpe", self.first)
         own_cache("bpe", self.rest)
 
+    def sign(self, part: str) -> bytes:
+        """A run of signs or a line break, by itself."""
+        if (found := self.signs.get(part)) is None:
+            if len(self.signs) >= CACHE_ENTRIES // 8:
+                self.signs.clear()
+            found = self.signs[part] = self.of_text(part)
+        return found
+
     def of_text(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -120,7 +134,9 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self.folds:
-            return self.of_text(text) if _SEPARATORS.search(text) else b"".join(map(self.rest.__getitem__, text.split()))
+            if _SEPARATORS.search(text):
+                return self.of_text(text)
+            return b"".join(map(self.rest.__getitem__, text.split()))
         if _ODD_SPACE.search(text):
             return self.of_text(text)
         pieces = text.split(" ")
