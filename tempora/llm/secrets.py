@@ -1,9 +1,10 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is a layer; so is everything that URL escapes, Unicode escapes, base64 or compression wrap inside a layer, at any depth.
-Each layer keeps, for each of its characters, the span of the original text that it comes from. Layers wait in a worklist until
-no new one turns up; a layer whose content and place were seen before isn't taken again, so chains that decode to themselves
-end. Each layer is scanned with the same patterns and what is found is mapped to the original text.
+Each layer keeps, for each of its characters, the span of the original text that it comes from. The worklist holds what is still
+to be unwrapped, the innermost first, until no new layer turns up; a layer whose content and place were seen before isn't taken
+again, so chains that decode to themselves end. Each layer is scanned with the same patterns and what is found is mapped to the
+original text. Streams are unwrapped piece by piece, so one that holds very much takes time but not memory.
 
 A run of base64 letters may be glued to other letters and broken over lines: it is decoded from each of its first four letters,
 by itself and joined with the runs of the lines around it, and whatever is text or a compressed stream in there is a layer.
@@ -18,8 +19,8 @@ import io
 import lzma
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,7 @@ MIN_BASE64, MIN_STRETCH = 16, 12
 #: A decompressor may take so many bytes of memory.
 MAX_UNWRAPPED = 1 << 28
 #: What a compressed stream holds is scanned in pieces of so many bytes, each with so many of the piece before it.
-PIECE, OVERLAP = 1 << 24, 1 << 20
+PIECE, OVERLAP = 1 << 23, 1 << 20
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
@@ -53,6 +54,22 @@ _STANDARD = str.maketrans("-_", "+/")
 _CHARACTERS = rb"(?:[\t\n\r\x20-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})"
 _STRETCH = re.compile(_CHARACTERS + b"{%d,}+" % MIN_STRETCH)
 _PACKED = re.compile(rb"(\x1f\x8b\x08)|(\x78[\x01\x5e\x9c\xda])|(BZh[1-9])|(\xfd7zXZ\x00)|(\x28\xb5\x2f\xfd)")
+#: Bytes written with URL escapes, a plus for a blank, or with backslashes, and how compressed streams begin in these.
+_URL_BYTES = re.compile(r"%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!*'()+-]")
+_SLASH_BYTES = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|[0-7]{1,3}|[abtnvfr'\"\\])|[\x20-\x5b\x5d-\x7e]")
+_NAMED = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "'": 39, '"': 34, "\\": 92}
+
+#: The first bytes of compressed streams: gzip, zlib, bzip2, xz and zstandard.
+_HEADS = ([b"\x1f", b"\x8b", b"\x08"], [b"x", b"\x01^\x9c\xda"], [b"B", b"Z", b"h", b"123456789", b"1", b"A", b"Y"], [b"\xfd", b"7", b"z", b"X", b"Z", b"\0"], [b"(", b"\xb5", b"/", b"\xfd"])
+
+
+def _head(token: re.Pattern, escapes: tuple[str, ...], named: dict[int, str]) -> re.Pattern:
+    """Finds the first bytes of compressed streams, each written as one of the escapes or, where a token may be that, as itself."""
+    one = lambda b: "|".join([*(e % b for e in escapes), *([named[b]] if b in named else []), *([re.escape(chr(b))] if token.fullmatch(chr(b)) else [])])
+    return re.compile("|".join("".join(f"(?:{'|'.join(map(one, sorted(x)))})" for x in head) for head in _HEADS), re.IGNORECASE)
+
+
+_URL_HEAD, _SLASH_HEAD = _head(_URL_BYTES, ("%%%02x",), {}), _head(_SLASH_BYTES, (r"\\x%02x", r"\\u00%02x", r"\\%03o"), {b: re.escape("\\" + k) for k, b in _NAMED.items()})
 
 _TYPES = {"doc_id": pa.int64(), "n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "n_layers": pa.int64()}
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
@@ -200,6 +217,47 @@ def _unpacked(data: bytes) -> tuple[Iterator[bytes], _Stream]:
     return pieces(), outer
 
 
+def _packed(data: bytes, place: Callable[[int], np.ndarray], end: np.ndarray) -> Iterator[Layer]:
+    """Layers of the text of all compressed streams in data; place(i) is where byte i comes from, end where data ends."""
+    done = set()
+    for m in _PACKED.finditer(data):
+        if m.lastindex in done:
+            continue  # a later member of a stream that was read to its end
+        pieces, stream = _unpacked(data[m.start() :])
+        a = place(m.start())
+        for piece in pieces:
+            for text, _ in _stretches(piece, True):
+                yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(end, len(text)))
+        if not stream.broken and m.lastindex != 2:
+            done.add(m.lastindex)
+
+
+def _url_byte(token: str) -> int:
+    return int(token[1:], 16) if token[0] == "%" else 32 if token == "+" else ord(token)
+
+
+def _slash_byte(token: str) -> int:
+    if token[0] != "\\" or len(token) == 1:
+        return ord(token)
+    kind = token[1]
+    return int(token[2:], 16) if kind in "xX" else int(token[4:], 16) if kind in "uU" else _NAMED[kind] if kind in _NAMED else int(token[1:], 8) & 255
+
+
+def _escaped_bytes(layer: Layer, head: re.Pattern, token: re.Pattern, value: Callable[[str], int]) -> Iterator[Layer]:
+    """Layers of compressed streams whose bytes are escaped one by one: from a stream's first byte to the end of the quotes that it stands in or, without quotes, of such bytes other than blanks."""
+    last = 0
+    for m in head.finditer(layer.text):
+        if m.start() < last:
+            continue
+        data, places, last = bytearray(), array("q"), m.start()
+        quote = layer.text[last - 1] if last and layer.text[last - 1] in "'\"" else "\"' "
+        while (t := token.match(layer.text, last)) and t[0] not in quote:
+            data.append(value(t[0]))
+            places.append(last)
+            last = t.end()
+        yield from _packed(bytes(data), lambda i, places=places: layer.starts[places[i]], layer.ends[last - 1])
+
+
 def _text(data: bytes) -> str | None:
     try:
         text = data.decode()
@@ -244,38 +302,35 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 stop = begin + np.cumsum(sizes)
                 first, last = k + (stop - sizes) * 8 // 6, k + np.minimum(-(-stop * 8 // 6), len(part))
                 yield Layer(text, layer.starts[at[first]], layer.ends[at[last - 1]])
-            done = set()
-            for m in _PACKED.finditer(data) if whole else ():
-                if m.lastindex in done:
-                    continue  # a later member of a stream that was read to its end
-                pieces, stream = _unpacked(data[m.start() :])
-                a, b = layer.starts[at[k + m.start() * 8 // 6]], layer.ends[end - 1]
-                for piece in pieces:
-                    for text, _ in _stretches(piece, True):
-                        yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)))
-                if not stream.broken and m.lastindex != 2:
-                    done.add(m.lastindex)
+            if whole:
+                yield from _packed(data, lambda i, k=k, at=at: layer.starts[at[k + i * 8 // 6]], layer.ends[end - 1])
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """What one step of decoding makes of a layer."""
-    if "%" in layer.text and (found := _in_place(layer, _URL, _url)):
-        yield found
-    if ("\\" in layer.text or "&#" in layer.text) and (found := _in_place(layer, _UNICODE, _unicode)):
-        yield found
+    if "%" in layer.text:
+        if found := _in_place(layer, _URL, _url):
+            yield found
+        yield from _escaped_bytes(layer, _URL_HEAD, _URL_BYTES, _url_byte)
+    if "\\" in layer.text or "&#" in layer.text:
+        if found := _in_place(layer, _UNICODE, _unicode):
+            yield found
+        yield from _escaped_bytes(layer, _SLASH_HEAD, _SLASH_BYTES, _slash_byte)
     yield from _base64(layer)
 
 
 def layers(text: str) -> Iterator[Layer]:
-    """The text and all that is wrapped in it."""
+    """The text and all that is wrapped in it. Of layers that come one by one from a stream, one is held at a time."""
     at = np.arange(len(text))
-    work, seen = deque([Layer(text, at, at + 1)]), set()
+    work, seen = [iter([Layer(text, at, at + 1)])], set()
     while work:
-        layer = work.popleft()
-        if (key := layer.key()) not in seen:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif (key := layer.key()) not in seen:
             seen.add(key)
             yield layer
-            work.extend(unwrapped(layer))
+            work.append(unwrapped(layer))
 
 
 def _holds(run: str) -> bool:

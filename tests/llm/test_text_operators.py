@@ -4,9 +4,12 @@ import base64
 import bz2
 import gzip
 import hashlib
+import json
 import lzma
+import math
 import random
 import re
+import textwrap
 import urllib.parse
 import zlib
 
@@ -358,3 +361,166 @@ def test_toxicity_edges(spark):
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert all(r["score"] < 0.5 for r in none)
     assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), labels).count() == 0
+
+
+def plain_label_model(x, share, start, rounds):
+    """The label model in plain loops."""
+    n, m = len(x), len(x[0])
+    rate = [list(r) for r in start]
+    weight = [math.log(rate[1][j] / rate[0][j]) - math.log((1 - rate[1][j]) / (1 - rate[0][j])) for j in range(m)]
+
+    def posterior():
+        s = [sum(weight[j] for j in range(m) if row[j]) for row in x]
+        low, high = -200.0, 200.0
+        for _ in range(70):
+            mid = (low + high) / 2
+            mean = sum(1 / (1 + math.exp(-max(-40, min(40, z + mid)))) for z in s) / n
+            low, high = (low, mid) if mean > share else (mid, high)
+        return [1 / (1 + math.exp(-max(-40, min(40, z + (low + high) / 2)))) for z in s]
+
+    p = posterior()
+    for _ in range(rounds):
+        sizes = [n - sum(p), sum(p)]
+        for j in range(m):
+            for c in (0, 1):
+                hits = sum((q if c else 1 - q) for q, row in zip(p, x, strict=True) if row[j])
+                rate[c][j] = min(max((hits + toxicity.PROPOSAL * start[c][j]) / (sizes[c] + toxicity.PROPOSAL), 1e-5), 1 - 1e-5)
+        within = [[sum(row[j] * row[k] for row in x) / n - sum(sizes[c] / n * rate[c][j] * rate[c][k] for c in (0, 1)) for k in range(m)] for j in range(m)]
+        sd = [math.sqrt(max(within[j][j], 1e-9)) for j in range(m)]
+        a = [[toxicity.CHANCE + (1 - toxicity.CHANCE) if j == k else (1 - toxicity.CHANCE) * max(-1, min(1, within[j][k] / sd[j] / sd[k])) * (abs(within[j][k] / sd[j] / sd[k]) > toxicity.SAME) for k in range(m)] for j in range(m)]
+        odds = [math.log(rate[1][j] / rate[0][j]) - math.log((1 - rate[1][j]) / (1 - rate[0][j])) for j in range(m)]
+        wanted = np.linalg.solve(np.array(a), np.array(odds))
+        weight = [w + toxicity.TURN * (max(v, 0) - w) for w, v in zip(weight, wanted, strict=True)]
+        p = posterior()
+    return p, rate, weight
+
+
+def made_votes(n, rates, share, seed=3):
+    rnd = random.Random(seed)
+    y = [int(rnd.random() < share) for _ in range(n)]
+    return np.array([[float(rnd.random() < r[c]) for r in rates] for c in y]), np.array(y)
+
+
+def test_label_model_equals_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TURNS", 12)
+    x, _ = made_votes(60, [(0.1, 0.7), (0.05, 0.5), (0.2, 0.6), (0.02, 0.3)], 0.3)
+    x = np.column_stack([x, x[:, 0]])  # one voter repeats another
+    start = np.array([[0.1] * 5, [0.5, 0.4, 0.6, 0.3, 0.5]])
+    p, on, _, w, _ = toxicity.label_model(x, 0.3, start)
+    q, rate, weight = plain_label_model(x.tolist(), 0.3, start.tolist(), 12)
+    assert np.allclose(p, q, atol=1e-6) and np.allclose(on, rate, atol=1e-6) and np.allclose(w, weight, atol=1e-6)
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    rates = [(0.02, 0.5), (0.05, 0.6), (0.01, 0.4), (0.04, 0.5), (0.03, 0.3)]
+    x, y = made_votes(6000, rates, 0.2)
+    x = np.column_stack([x, x[:, 0]])
+    start = np.array([[0.02] * 6, [0.3] * 6])
+    p, on, correlation, w, _ = toxicity.label_model(x, 0.2, start)
+    assert np.abs(on.T[:5] - np.array(rates)).max() < 0.15  # texts without a vote can't be told apart
+    assert correlation[0, 5] > 0.99 and np.abs(correlation[np.ix_(range(5), range(1, 5))] - np.eye(5)[:, 1:]).max() < 0.35
+    assert abs(w[0] - w[5]) < 1e-6  # the two that say the same have the same weight
+    assert ((p >= 0.5) == (y == 1)).mean() > 0.93
+    # classes are told by the votes: no text's label is among the inputs, and noise in labels can't come back out
+    assert 0 < ((p >= 0.5) != (y == 1)).sum()
+
+
+def test_posteriors_are_not_the_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.labelled(docs, labels).collect()
+    model = toxicity.train(docs, labels)
+    z = [model.label_bias + model.label_weights[model.fired(r["text"] or "")[0]].sum() for r in rows]
+    p, y = 1 / (1 + np.exp(-np.clip(z, -40, 40))), np.array([r["toxic"] for r in rows])
+    assert 0.005 < np.abs(p - y).mean() < 0.1 and 0 < ((p >= 0.5) != (y == 1)).sum() < 20
+    # a row's own label isn't an input: the same votes have the same posterior whatever the label
+    silent = [i for i, r in enumerate(rows) if not model.fired(r["text"] or "")[0]]
+    assert len(set(np.round(p[silent], 12))) == 1
+
+
+def test_toxicity_ties_and_one_class(spark):
+    docs = spark.createDataFrame([(i, "same text here", "en", "s", None) for i in range(30)] + [(7, "other text", "en", "s", None)], "doc_id long, text string, toxic string, voters string, share string")
+    for y in (0, 1):
+        rows = toxicity.toxicity(docs, spark.createDataFrame([(i, y) for i in range(30)] * 2, "doc_id long, toxic int")).collect()
+        assert len(rows) == 31 and len({r["score"] for r in rows}) == 1
+    assert toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 31
+
+
+@pytest.mark.parametrize("line", ["one", 60, 72, 80, "#", "//", " * ", "REM"])
+def test_notices_however_they_are_laid_out(line):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, notice in licenses.TEMPLATES.items():
+        if line == "one":
+            body = notice
+        elif isinstance(line, int):
+            body = "\n".join(textwrap.wrap(notice, line))
+        else:
+            body = "\n".join(f"{line} {part}" for part in textwrap.wrap(notice.upper() if line == "REM" else notice, 66))
+        for before, behind in (("", ""), ("import os\nvalue = call(1, 2)\n\n", "\n\ndef f(x):\n    return 3\n")):
+            _, own = scanner.scan(before + body + behind)
+            assert [x[2:3] + x[4:5] for x in own] == [(name, 0)], (name, line)
+            assert own[0][5] == 0 or line == "REM"
+            start, end = own[0][:2]
+            assert licenses.words_of(notice)[0] == licenses.words_of(before + body + behind[:0])[len(licenses.words_of((before + body)[:start]))]
+            assert (before + body + behind)[start:end].split()[-1].strip(".)\"/") .lower().endswith(licenses.words_of(notice)[-1])
+
+
+def test_notices_against_every_window():
+    """Two to five notices anywhere in long texts, and one long line, are all found where a search of every window would."""
+    scanner, words, names = licenses.Scanner(licenses.TEMPLATES), "the report of the harbour speaks about wind and tides and boats in winter".split(), list(licenses.TEMPLATES)
+    for seed in range(25):
+        rnd = random.Random(seed)
+        chosen, parts, wanted = [rnd.choice(names) for _ in range(rnd.randint(2, 5))], [], []
+        for name in chosen:
+            parts += [rnd.choice(words) for _ in range(rnd.choice([30, 200, 900]))]
+            wanted.append((len(licenses.words_of(" ".join(parts))), name))
+            parts += licenses.TEMPLATES[name].split()
+        text = " ".join(parts)
+        starts = {m.start(): i for i, m in enumerate(re.finditer(r"[A-Za-z0-9.]*[A-Za-z0-9]", text))}
+        assert [(starts[x[0]], x[2], x[4], x[5]) for x in scanner.scan(text)[1]] == [(*w, 0, 0) for w in wanted], seed
+        # brute force: the template's words stand there one by one
+        flat = licenses.words_of(text)
+        for at, name in wanted:
+            own = licenses.words_of(licenses.TEMPLATES[name])
+            assert any(flat[i : i + len(own)] == own for i in [at])
+
+
+def test_own_templates():
+    long = "copyright " + " ".join(f"clause{i}" for i in range(400)) + " warranty"
+    odd = "no sign of what this is but unmistakable wording all the same"
+    scanner = licenses.Scanner({"long": long, "odd": odd, "empty": ""})
+    assert [x[2] for x in scanner.scan("a b " + long + " c d")[1]] == ["long"]
+    assert [x[2] for x in scanner.scan(" ".join(["x"] * 5000) + "\n" + odd)[1]] == ["odd"]
+    assert scanner.scan(odd.replace("unmistakable", "other"))[1] == [] and scanner.scan("...")[0] == 0
+    assert [x[2] for x in scanner.scan("\n".join([long] * 6))[1]] == ["long"] * 6
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, lambda b: zlib.compress(b, 1), bz2.compress, lzma.compress, lambda b: zstandard.ZstdCompressor().compress(b)])
+def test_compressed_bytes_behind_escapes(pack):
+    long = ("noise " * 40 + "password=hunter2hunter2 " + "more " * 20).encode()
+    data = pack(long)
+    written = [
+        urllib.parse.quote(data), urllib.parse.quote(data).lower(), urllib.parse.quote_plus(data), "".join(f"%{b:02x}" for b in data), repr(data), "".join(f"\\x{b:02x}" for b in data), "".join(f"\\x{b:02X}" for b in data),
+        json.dumps(data.decode("latin-1")), urllib.parse.quote(base64.b64encode(pack(data))), base64.b64encode(urllib.parse.quote(data).encode()).decode(),
+    ]
+    for i, w in enumerate(written):
+        text = f"é see {w} end"
+        if i == 1 and pack(b"").isascii():
+            continue
+        if w.lower() == w and i == 1 and any(65 <= b <= 90 for b in data):
+            continue  # lower case changes the bytes themselves
+        _, spans, _ = secrets.scan(text)
+        assert any(k == 0 for _, k, _ in spans), (i, w[:80])
+        assert all(6 <= a < b <= len(text) - 4 for a, _, b in spans if b - a > 40), (i, spans)
+        assert not secrets.plain(text.encode())
+
+
+def test_a_bomb_takes_little_memory():
+    """64 MB of text behind 80 KB of base64: what is held is a piece of it."""
+    import tracemalloc
+
+    text = base64.b64encode(gzip.compress(gzip.compress(b"the same words again and again " * (1 << 21)) + gzip.compress(b" token=abcdef123456 "))).decode()
+    tracemalloc.start()
+    _, spans, _ = secrets.scan(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for _, k, _ in spans] == [0] and peak < 300 << 20, peak >> 20
