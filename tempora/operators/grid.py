@@ -23,7 +23,9 @@ def sampled(samples: DataFrame, start: int, stop: int, step: int, interpolator:
     if (stop - start) // step >= MAX_CELLS:
         raise ValueError(f"a grid of more than {MAX_CELLS} instants; choose a longer step")
     series = Window.partitionBy("metric", "lset").orderBy("t_ms")
-    rows = samples.where((F.col("t_ms") <= stop) & F.col("v").isNotNull()).select("metric", "labels", "lset", "t_ms", "v", F.lag("t_ms").over(series).alias("t0"), F.lag("v").over(series).alias("v0"))
+    # of samples at one time the first by value counts
+    first = samples.where((F.col("t_ms") <= stop) & F.col("v").isNotNull()).withColumn("v", F.min("v").over(series.rangeBetween(0, 0)))
+    rows = first.select("metric", "labels", "lset", "t_ms", "v", F.lag("t_ms").over(series).alias("t0"), F.lag("v").over(series).alias("v0")).where("t0 IS NULL OR t0 < t_ms")
     t, t0 = F.col("t_ms"), F.col("t0")
     last = floor_div(t - start, step)
     first = F.greatest(F.coalesce(floor_div(t0 - start, step) + 1, F.lit(0).cast("long")), F.lit(0).cast("long"))
@@ -44,7 +46,8 @@ def sampled(samples: DataFrame, start: int, stop: int, step: int, interpolator:
 def sampled_text(samples: DataFrame, start: int, stop: int, step: int, tolerance: int | None) -> DataFrame:
     """The same for text series, which have a next value only: metric, labels, lset, k, s."""
     series = Window.partitionBy("metric", "lset").orderBy("t_ms")
-    rows = samples.where((F.col("t_ms") <= stop) & F.col("s").isNotNull()).withColumn("t0", F.lag("t_ms").over(series))
+    first = samples.where((F.col("t_ms") <= stop) & F.col("s").isNotNull()).withColumn("s", F.min("s").over(series.rangeBetween(0, 0)))
+    rows = first.withColumn("t0", F.lag("t_ms").over(series)).where("t0 IS NULL OR t0 < t_ms")
     last = floor_div(F.col("t_ms") - start, step)
     first = F.greatest(F.coalesce(floor_div(F.col("t0") - start, step) + 1, F.lit(0).cast("long")), F.lit(0).cast("long"))
     if tolerance is not None:

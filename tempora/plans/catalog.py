@@ -70,20 +70,13 @@ def _all(functions: list[str], step: int = DAY, window: int = 0, **options: obje
 
 # --- raw
 
-_simple("raw_select", Query(START, START + 3 * DAY, [Column("click"), Column("view")]), f"""
-SELECT lset, t AS time, max(v) FILTER (metric = 'click') AS click, max(v) FILTER (metric = 'view') AS view FROM ({EVENTS})
-WHERE metric IN ('click', 'view') AND t BETWEEN {START} AND {START + 3 * DAY} GROUP BY lset, t""")
+_simple("raw_select", Query(START, STOP, [Column("click"), Column("view")]), f"""
+SELECT lset, t AS time, min(v) FILTER (metric = 'click') AS click, min(v) FILTER (metric = 'view') AS view FROM ({EVENTS})
+WHERE metric IN ('click', 'view') AND t BETWEEN {START} AND {STOP} GROUP BY lset, t""")
 _simple("raw_filter_label", Query(START, STOP, [Column("*")], filter="starts(__name__, 'p') and (user_id == '7' or user_id in ('11', '13')) and not user_id == '9'"), f"""
 SELECT metric, lset, t AS time, v AS value FROM ({EVENTS}) WHERE starts_with(metric, 'p') AND usr IN ('7', '11', '13')""", drop=("labels", "text"))
-_simple("align_metrics", Query(START, STOP, [Column("click", alias="c"), Column("view"), Column("purchase")], filter="user_id < 20"), f"""
-SELECT lset, t AS time, max(v) FILTER (metric = 'click') AS c, max(v) FILTER (metric = 'view') AS view, max(v) FILTER (metric = 'purchase') AS purchase
-FROM ({EVENTS}) WHERE metric IN ('click', 'view', 'purchase') AND CAST(usr AS BIGINT) < 20 GROUP BY lset, t""")
-# the two above over all events
-_simple("raw_select_whole", Query(START, STOP, [Column("click"), Column("view")]), f"""
-SELECT lset, t AS time, max(v) FILTER (metric = 'click') AS click, max(v) FILTER (metric = 'view') AS view FROM ({EVENTS})
-WHERE metric IN ('click', 'view') AND t BETWEEN {START} AND {STOP} GROUP BY lset, t""")
-_simple("align_metrics_whole", Query(START, STOP, [Column("click", alias="c"), Column("view"), Column("purchase")]), f"""
-SELECT lset, t AS time, max(v) FILTER (metric = 'click') AS c, max(v) FILTER (metric = 'view') AS view, max(v) FILTER (metric = 'purchase') AS purchase
+_simple("align_metrics", Query(START, STOP, [Column("click", alias="c"), Column("view"), Column("purchase")]), f"""
+SELECT lset, t AS time, min(v) FILTER (metric = 'click') AS c, min(v) FILTER (metric = 'view') AS view, min(v) FILTER (metric = 'purchase') AS purchase
 FROM ({EVENTS}) WHERE metric IN ('click', 'view', 'purchase') AND t BETWEEN {START} AND {STOP} GROUP BY lset, t""")
 
 # --- cells
@@ -162,7 +155,7 @@ def _grid_sql(interpolator: str, back: int, where: str = "") -> str:
 
 for _i in _VALUES:
     _simple(f"downsample_{_i.removesuffix('_val')}", Query(START, STOP, [Column("*", interpolator=_i)], _GRID_STEP), _grid_sql(_i, _TOLERANCE) + "SELECT metric, lset, time, round(value, 4) AS value FROM y WHERE value IS NOT NULL", round_=("value",))
-for _f in ("sum", "min", "max", "avg", "count"):
+for _f in ("sum", "min", "max", "avg", "count"):  # the others stand in catalog_more
     _simple(f"cross_series_{_f}", Query(START, STOP, [Column("*", f"{_f}_all", interpolator="prev_val")], _GRID_STEP), _grid_sql("prev_val", _TOLERANCE) + f"SELECT metric, time, round({_f}(value), {digits(_f)}) AS {_f} FROM y WHERE value IS NOT NULL GROUP BY metric, time", round_=(_f,))
 _simple("cross_series_groupby", Query(START, STOP, [Column("click", "sum_all", interpolator="next_val"), Column("view", "count_all", interpolator="next_val")], _GRID_STEP, group_by=["user_id"]), _grid_sql("next_val", _TOLERANCE) + """
 SELECT lset, time, round(sum(value) FILTER (metric = 'click'), 4) AS "sum(click)", count(*) FILTER (metric = 'view') AS "count(view)" FROM y WHERE value IS NOT NULL AND metric IN ('click', 'view') GROUP BY lset, time""", round_=("sum(click)",))
@@ -274,17 +267,16 @@ def _late_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _second_batch(spark, sf_dir, True)
 
 
-def _stored(spark: SparkSession, sf_dir: str):  # noqa: ANN202
+def _stored(spark: SparkSession, sf_dir: str, label_sets: str = ""):  # noqa: ANN202
     """A table of events, new for each call."""
-    import os
-    import tempfile
     import uuid
 
+    from tempora.sources.files import shared_root
     from tempora.sources.schema import make_schema
     from tempora.sources.table import Table
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tempora-shared")
-    table = Table.create(spark, f"{root.rstrip('/')}/tempora/table-{uuid.uuid4().hex}", make_schema(aggregates="*"))
+    table = Table.create(spark, f"{shared_root(spark)}/tempora/table-{uuid.uuid4().hex}", make_schema(aggregates="*", label_sets=label_sets))
+    table.files.delete_at_end()
     table.append(events(spark, sf_dir))
     return table
 
@@ -303,15 +295,9 @@ def _delete_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table.rollups().select("metric", "lset", "bucket_ms", "count", "sum"), "sum")
 
 
-@register("table_select", f"SELECT lset, {_K.format(DAY)}, round(sum(v), 4) AS \"sum(click)\" FROM ({EVENTS}) WHERE metric = 'click' AND t BETWEEN {START} AND {START + 6 * DAY} GROUP BY ALL")
+@register("table_select", f"SELECT lset, {_K.format(DAY)}, round(sum(v), 4) AS \"sum(click)\" {_IN} AND metric = 'click' GROUP BY ALL")
 def _table_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_stored(spark, sf_dir).select(Query(START, START + 6 * DAY, [Column("click", "sum")], DAY)).drop("labels"), "sum(click)")
-
-
-
-@register("table_select_whole", f"SELECT lset, {_K.format(DAY)}, round(sum(v), 4) AS \"sum(click)\" {_IN} AND metric = 'click' GROUP BY ALL")
-def _table_select_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_stored(spark, sf_dir).select(Query(START, STOP, [Column("click", "sum")], DAY)).drop("labels"), "sum(click)")
+    return rounded(_stored(spark, sf_dir).select(Query(START, STOP, [Column("click", "sum")], DAY), rollups=False).drop("labels"), "sum(click)")
 
 
 # --- SQL and other tables
@@ -326,8 +312,7 @@ _sql("sql_aggregate", "select max(click) as top, avg(click), stddev(view) from e
 SELECT lset, {_K.format(5 * DAY)}, max(v) FILTER (metric = 'click') AS top, round(avg(v) FILTER (metric = 'click'), 9) AS "avg(click)",
 CASE WHEN count(*) FILTER (metric = 'view') > 1 THEN round(stddev_samp(v) FILTER (metric = 'view'), 4) END AS "stddev(view)" {_IN} AND metric IN ('click', 'view') AND usr <> '3' GROUP BY ALL""", ("avg(click)", "stddev(view)"))
 _sql("sql_interpolated", "select sum_all(prev_val(error, '1d')) as errors from events", DAY, (_grid_sql("prev_val", DAY, " AND metric = 'error'") + "SELECT time, round(sum(value), 4) AS errors FROM y WHERE value IS NOT NULL GROUP BY time").replace(f"time - t0 <= {_TOLERANCE}", f"time - t0 <= {DAY}"), ("errors",))
-_sql("sql_raw", "select click from events where user_id in ('1', '2')", 0, f"SELECT lset, t AS time, v AS click {_IN} AND metric = 'click' AND usr IN ('1', '2')")
-_sql("sql_raw_whole", "select click from events", 0, f"SELECT lset, t AS time, v AS click {_IN} AND metric = 'click'")
+_sql("sql_raw", "select click from events", 0, f"SELECT lset, t AS time, v AS click {_IN} AND metric = 'click'")
 
 _LINES = "SELECT l_returnflag AS metric, 'linestatus=' || l_linestatus AS lset, epoch_us(l_shipdate) // 1000 AS t, l_extendedprice AS v FROM lineitem"
 _L0, _L1 = 694_224_000_000, 946_684_800_000  # 1992 to 2000
@@ -338,3 +323,5 @@ _ORDERS = "SELECT o_orderstatus AS metric, 'priority=' || o_orderpriority AS lse
 _simple("orders_monthly", Query(_L0, _L1, [Column("*", f) for f in ("count", "avg")], 30 * DAY), f"SELECT metric, lset, (t - {_L0}) // {30 * DAY} * {30 * DAY} + {_L0} AS time, count(*) AS count, round(avg(v), 7) AS avg FROM ({_ORDERS}) WHERE t BETWEEN {_L0} AND {_L1} GROUP BY ALL", source=lambda s, d: from_orders(s.read.parquet(f"{d}/orders.parquet")))
 _orders = QUERIES["orders_monthly"]
 QUERIES["orders_monthly"] = lambda spark, sf_dir: _orders(spark, sf_dir).withColumn("avg", F.round("avg", 7))
+
+from tempora.plans import catalog_more  # noqa: E402, F401  registers more

@@ -106,14 +106,14 @@ def _downsampled(samples: DataFrame, query: Query, columns, text: frozenset[str]
 
 
 def _across(samples: DataFrame, query: Query) -> DataFrame:
-    """One row for each grid instant, or for each of a group: every series is sampled first, and the values are aggregated."""
-    values = _grouped(_sampled(samples, query, query.columns).withColumn("t_ms", F.col("k")), query.group_by)
+    """One row for each grid instant, or for each of a group: every series is sampled first, and the values are aggregated. The last one is that of the last label set."""
+    values = _grouped(_sampled(samples, query, query.columns).withColumn("t_ms", F.col("k")).withColumn("series", F.col("lset")), query.group_by)
     wild = query.columns[0].wildcard
     keys = [*(["metric"] if wild else []), *(["lset"] if query.group_by else []), "k"]
     made = []
     for c in query.columns:
         given = F.lit(True) if wild else F.col("metric") == c.metric
-        part = {p: over_samples(p, given, F.col("v"), F.struct("t_ms", "metric")) for p in NEEDS[c.base]}
+        part = {p: over_samples(p, given, F.col("v"), F.struct("t_ms", "metric", "series")) for p in NEEDS[c.base]}
         made.append(derived(c.base, part).alias(c.base if wild else c.name))
     if query.group_by:
         made.append(F.any_value("labels").alias("labels"))

@@ -102,6 +102,8 @@ def resolved(query: Query) -> Query:
     out = replace(query, columns=columns)
     if out.kind == "across" and not all(c.across for c in columns):
         raise ValueError("either all functions go across series or none")
+    if any(c.across and c.base == "rate" for c in columns):
+        raise ValueError("rate doesn't go across series")
     if any(c.wildcard for c in columns) and not all(c.wildcard for c in columns):
         raise ValueError("all metrics and single ones can't be mixed")
     if out.kind in ("cells", "across", "mixed") and not out.step:

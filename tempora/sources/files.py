@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder if there is one machine, as in tests, and an error on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = os.path.join(tempfile.gettempdir(), "tempora-shared")
+    return at.rstrip("/")
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.jvm, self.spark = spark.sparkContext._jvm, spark
@@ -25,6 +38,12 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name)) if s.isDirectory())
 
+    def names(self, name: str) -> list[str]:
+        """The files of a folder."""
+        if not self.exists(name):
+            return []
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name)) if not s.isDirectory())
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:
@@ -49,6 +68,10 @@ class Files:
             raise
         return True
 
+    def delete_at_end(self, name: str = "") -> None:
+        """Has a folder removed when the application ends."""
+        self.fs.deleteOnExit(self._path(name))
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self._path(name), True)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,20 +14,49 @@ from tempora.sources import samples as canonical
 from tempora.sources.table import Table
 
 
-def into_table(stream: DataFrame, table: Table, checkpoint: str, override: bool = False, **trigger: object) -> StreamingQuery:
+#: How long to wait for a stream to be drained.
+DRAIN_SECONDS = 24 * 3600
+
+
+def into_table(stream: DataFrame, table: Table, checkpoint: str, override: bool = False, tries: int = 3, **trigger: object) -> StreamingQuery:
     """Appends each micro-batch to the table.
 
-    A batch that comes again after a failure changes nothing: its samples aren't later than those that the table has by then.
-    `trigger` is what writeStream.trigger takes; the default empties what is there and ends.
+    A batch that comes again after a failure changes nothing: its samples aren't later than those that the table has by then, and
+    a batch that failed has left nothing behind. One that fails is tried `tries` times, but for samples that can't be stored.
+    `trigger` is what writeStream.trigger takes; the default empties what is there and ends. How much a batch takes is the
+    source's to say: maxFilesPerTrigger or maxBytesPerTrigger for `events_stream`.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            table.append(batch, override)
+        if batch.isEmpty():
+            return
+        for left in reversed(range(tries)):
+            try:
+                return table.append(batch, override)
+            except ValueError:
+                raise
+            except Exception:
+                if not left:
+                    raise
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def drained(query: StreamingQuery, seconds: float = DRAIN_SECONDS) -> bool:
+    """Waits until all that the stream has is in the table; False if that takes longer. A stream that fails raises its error."""
+    end = time.monotonic() + seconds
+    while time.monotonic() < end:
+        if not query.isActive:
+            if (error := query.exception()) is not None:
+                raise error
+            return True
+        status = query.status
+        if query.lastProgress and not status["isDataAvailable"] and not status["isTriggerActive"]:
+            return True
+        time.sleep(0.05)
+    return not query.isActive
+
+
 def monotonic(stream: DataFrame) -> DataFrame:
     """The samples of a stream that are later than all before them of their series; the state is the last time and whether the series is numeric.
 

@@ -40,7 +40,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize(("name", "metrics"), [("raw_select", "'click', 'view'"), ("align_metrics", "'click', 'view', 'purchase'"), ("sql_raw", "'click'"), ("table_select", "'click'")])
 def test_whole_queries_read_all_users_and_days(spark, duck, name, metrics):
-    rows = catalog.QUERIES[f"{name}_whole"](spark, SF).select("lset", "time").collect()
+    rows = catalog.QUERIES[name](spark, SF).select("lset", "time").collect()
     seen = {(r["lset"], (r["time"] - catalog.START) // catalog.DAY) for r in rows}
     wanted = duck.execute(f"SELECT DISTINCT lset, (t - {catalog.START}) // {catalog.DAY} FROM ({catalog.EVENTS}) WHERE metric IN ({metrics}) AND t BETWEEN {catalog.START} AND {catalog.STOP}").fetchall()
     assert seen == set(wanted)

@@ -228,3 +228,113 @@ def test_counters(spark):
     df, seen = counted(rows(spark, ("cpu", {}, 5, 1.0), ("log", {}, 9, "x")), "batch")
     df.collect()
     assert seen.get == {"samples": 2, "first_t": 5, "last_t": 9, "text_samples": 1}
+
+
+def state(t):
+    return left(t), sorted((r["metric"], r["lset"], r["bucket_ms"], r["count"], r["last"]) for r in t.rollups().collect()), sorted((r["lset"], r["bucket_ms"], r["count"]) for r in t.preaggregates(["os"]).collect()), t.partitions()
+
+
+@pytest.mark.parametrize("override", [False, True])
+def test_a_writer_that_dies_anywhere_leaves_the_table_as_it_was(spark, table, monkeypatch, override):
+    before = state(table)
+    batch = rows(spark, *[("cpu", {"os": os, "dc": "1"}, BASE + 6 * DAY - i * MINUTE, float(i)) for os in ("win", "mac") for i in range(3)], ("cpu", {"os": "win", "dc": "1"}, BASE + 9 * DAY, 1.0))
+    steps = []
+    for name in ("_write", "_commit"):
+        own = getattr(Table, name)
+        monkeypatch.setattr(Table, name, lambda self, *a, own=own, **k: (steps.append(1), own(self, *a, **k))[1])
+    n = 0
+    while True:
+        steps.clear()
+        n += 1
+        for name in ("_write", "_commit"):
+            own = getattr(Table, name)
+            monkeypatch.setattr(Table, name, lambda self, *a, own=own, **k: (_ for _ in ()).throw(OSError("gone")) if len(steps) == n - 1 else own(self, *a, **k))
+        try:
+            table.append(batch, override)
+            break
+        except OSError:
+            assert state(Table.open(spark, table.path)) == before, n
+        finally:
+            monkeypatch.undo()
+            for name in ("_write", "_commit"):
+                own = getattr(Table, name)
+                monkeypatch.setattr(Table, name, lambda self, *a, own=own, **k: (steps.append(1), own(self, *a, **k))[1])
+    monkeypatch.undo()
+    assert n == 6  # four kinds of pieces and the commit, then none is left to fail
+    clean = Table.create(spark, table.path + "-clean", table.schema)
+    clean.append(Table.open(spark, table.path).samples().where(f"t_ms < {BASE + 5 * DAY}").drop("part_start"))
+    clean.append(batch, override)
+    assert state(clean) == state(Table.open(spark, table.path))
+    assert table.vacuum() > 0 and state(table) == state(clean) and table.vacuum() == 0
+
+
+def test_locks_that_writers_left_are_broken(spark, table):
+    table.files.write("_lock", "5")
+    table.append(rows(spark, ("cpu", {"os": "win", "dc": "1"}, BASE + 9 * DAY, 1.0)))
+    assert not table.files.exists("_lock")
+    table.files.write("_lock", str(2**62))
+    with pytest.raises(RuntimeError):
+        table.append(rows(spark, ("cpu", {"os": "win", "dc": "1"}, BASE + 10 * DAY, 1.0)))
+    table.break_lock()
+    other = Table.open(spark, table.path)
+    other.append(rows(spark, ("cpu", {"os": "win", "dc": "1"}, BASE + 11 * DAY, 1.0)))
+    with pytest.raises(RuntimeError):
+        table._commit(table.pieces)  # another writer was faster
+
+
+def test_readers_keep_the_version_that_they_have(spark, table):
+    old = table.samples()
+    n = old.count()
+    Table.open(spark, table.path).delete(BASE, BASE + 2 * DAY)
+    assert old.count() == n > Table.open(spark, table.path).samples().count()
+
+
+def test_appends_read_no_samples_and_pieces_are_made_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tempora.sources.table.MAX_PIECES", 4)
+    t = Table.create(spark, str(tmp_path / "t"), make_schema(aggregates="*"))
+    read = t._read
+    monkeypatch.setattr(t, "_read", lambda kind, *a, **k: read(kind, *a, **k) if kind == "series" or k.get("parts") else pytest.fail(kind))
+    for i in range(5):
+        t.append(rows(spark, ("cpu", {}, BASE + i * MINUTE, float(i))))
+    monkeypatch.undo()
+    assert {len(ids) for ids in t.pieces["samples"].values()} == {2} and t.samples().count() == 5
+    assert [(r["count"], r["sum"], r["last"]) for r in t.rollups().collect()] == [(5, 10.0, 4.0)]
+    t.compact()
+    assert [r["samples"] for r in t.series().collect()] == [5] and t.metric_names().count() == 1
+    t.append(rows(spark, ("cpu", {}, BASE, 1.0)))  # nothing new
+    assert t.samples().count() == 5
+
+
+def test_rollups_serve_a_query_by_themselves_where_the_answer_is_the_same(spark, table):
+    columns = [Column("cpu", f) for f in ("count", "sum", "min", "max", "avg", "stddev")]
+    whole = Query(BASE, BASE + 6 * DAY - 1, columns, 6 * HOUR)
+    cut = Query(BASE + MINUTE, BASE + 6 * DAY - 1, columns, 6 * HOUR)
+    for q, rolled in ((whole, True), (cut, False), (Query(BASE, BASE + DAY, columns, 6 * HOUR), False), (Query(BASE, BASE + 6 * DAY - 1, [Column("cpu", "rate")], 6 * HOUR), False)):
+        frame = table.select(q)
+        assert ("bucket_ms" in frame._jdf.queryExecution().optimizedPlan().toString()) == rolled, q
+        a, b = ([tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in f.drop("labels").orderBy("lset", "time").collect()] for f in (frame, table.select(q, rollups=False)))
+        assert a == b
+    table.append(rows(spark, ("cpu", {"os": "mac", "dc": "2"}, BASE + 7 * DAY, float("inf"))))
+    assert "bucket_ms" not in table.select(whole)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_streams_are_tried_again_and_drained(spark, tmp_path):
+    from tempora.streaming.ingest import drained
+
+    t = Table.create(spark, str(tmp_path / "t"), make_schema(aggregates="*"))
+    source = str(tmp_path / "in")
+    rows(spark, *[("cpu", {}, BASE + i, float(i)) for i in range(4)]).write.parquet(source)
+    stream, failures, add = events_stream(spark, source, samples.SCHEMA), [1, 1], t.append
+
+    def append(*args):
+        if failures:
+            failures.pop()
+            raise OSError("not now")
+        add(*args)
+
+    t.append = append
+    query = into_table(stream, t, str(tmp_path / "check"), processingTime="1 second")
+    assert drained(query, 60) and Table.open(spark, t.path).samples().count() == 4
+    query.stop()
+    with pytest.raises(ValueError):
+        t.select_prometheus(Query(0, 1, [Column("*")]))
