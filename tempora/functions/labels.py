@@ -61,6 +61,17 @@ def lset(labels: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), value(e))), ",")
 
 
+def lset_of(labels: Column, names: list[str]) -> Column:
+    """The canonical text of some labels of a map that has them all, without looking at the others: plain string functions, which stay in generated code."""
+    parts = []
+    for n in sorted(names):
+        value = labels[n]
+        for sign in ("\\", ",", "="):
+            value = F.replace(value, F.lit(sign), F.lit("\\" + sign))
+        parts.append(F.concat(F.lit(f"{n}="), value))
+    return F.concat_ws(",", *parts) if parts else F.lit("")
+
+
 def labels_from_text(column: Column) -> Column:
     """A label map from 'k=v,k=v'; empty text is no label."""
     text = F.trim(F.coalesce(column, F.lit("")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.aggregates import NEEDS, PRIMITIVES, derived, finite, over_rollups, over_samples
-from tempora.functions.labels import lset, subset
+from tempora.functions.labels import lset_of, subset
 
 #: (output name, metric, function) of a column.
 Wanted = list[tuple[str, str, str]]
@@ -68,7 +68,7 @@ def merged(rollups: DataFrame) -> DataFrame:
 def over_labels(rollups: DataFrame, names: list[str]) -> DataFrame:
     """Rollup rows by a subset of the labels: a pre-aggregate. Series that lack one of the labels are left out."""
     has = F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.map_contains_key("labels", n)) if names else F.lit(True)
-    return merged(rollups.where(has).withColumn("labels", subset(F.col("labels"), names)).withColumn("lset", lset(F.col("labels"))))
+    return merged(rollups.where(has).withColumn("lset", lset_of(F.col("labels"), names)).withColumn("labels", subset(F.col("labels"), names)))
 
 
 __all__ = ["PRIMITIVES", "Wanted", "aggregate", "merged", "over_labels", "primitives", "rolled_up"]

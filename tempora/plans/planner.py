@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.aggregates import NEEDS, derived, over_samples
-from tempora.functions.labels import lset, subset
+from tempora.functions.labels import lset_of, subset
 from tempora.operators import cells as C
 from tempora.operators.aggregate import Wanted, aggregate
 from tempora.operators.align import aligned, merged_columns
@@ -52,7 +52,7 @@ def _grouped(rows: DataFrame, names: list[str]) -> DataFrame:
     has = reduce(lambda a, b: a & b, [F.map_contains_key("labels", n) for n in names])
     message = F.lit(f"a series lacks a label of the grouping {', '.join(names)}")
     checked = F.when(has, subset(F.col("labels"), names)).otherwise(F.raise_error(message).cast("map<string,string>"))
-    return rows.withColumn("labels", checked).withColumn("lset", lset(F.col("labels")))
+    return rows.withColumn("lset", lset_of(F.col("labels"), names)).withColumn("labels", checked)
 
 
 def _cells(rows: DataFrame, query: Query, t: F.Column) -> DataFrame:

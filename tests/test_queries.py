@@ -267,3 +267,20 @@ def test_partitions_are_pruned_and_filters_pushed(spark, tmp_path):
     plan = table.select(Query(T, T + D, [Column("cpu", "sum")], HOUR))._jdf.queryExecution().executedPlan().toString()
     assert "part_start" in plan.split("PartitionFilters")[1][:200] and "IsNotNull(metric)" in plan and "(t_ms," in plan
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+
+
+def test_long_series_are_cut_into_stretches_of_time(spark, monkeypatch):
+    """Every interpolator gives the same, whatever the stretches and the parts of gaps are."""
+    from tempora.operators import grid
+
+    points = [(T + t, float(i)) for i, t in enumerate([0, 3, 3, 40, 41, 400, 407, 1000, 1001, 1002, 2500])]
+    rows = series(spark, ("cpu", {}, [(t - T, v) for t, v in points]), ("cpu", {"os": "x"}, [(5, 1.0), (5, 0.5), (1999, 2.0)]))
+    for name in ("none", "nan", "prev_val", "next_val", "linear"):
+        answers = []
+        for stretch, part in ((7 * D, 10_000), (10, 3), (1, 1), (500, 7)):
+            monkeypatch.setattr(grid, "STRETCH", stretch)
+            monkeypatch.setattr(grid, "PART", part)
+            got = grid.sampled(rows, T, T + 2600, 7, name, 60).collect()
+            answers.append(sorted((r["lset"], r["k"], str(r["v"])) for r in got))
+        assert answers[0] and all(a == answers[0] for a in answers)
+    assert [(r["k"], r["v"]) for r in grid.sampled(rows, T, T + 20, 1, "prev_val", 60).where("lset = 'os=x'").collect()] == [(5, 0.5)]
