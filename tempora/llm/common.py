@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.sources.files import Files, shared_root
+
 #: A word is a run of code points other than the space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,23 +29,23 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset or Spark's own default, a temporary one, as in tests on one machine."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "tempora-shared")
-    return at.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tempora/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/tempora/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: what follows neither repeats the work before it nor depends on the executors that did it."""
+    """df, written to the shared folder and read back: what follows neither repeats the work before it nor depends on the executors that did it. The files go when the application ends, or with `forget`."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Files(df.sparkSession, path).delete_at_end()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.tempora_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of what `written` gave, once nothing reads them any more."""
+    Files(df.sparkSession, df.tempora_path).delete()
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

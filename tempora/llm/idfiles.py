@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm.bpe import encoder
 from tempora.llm.common import map_arrow, shared_path, written
+from tempora.sources.files import Files
 
 MAGIC = b"TPFORv01"
 BLOCK = 1024
@@ -253,8 +254,10 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, **options: int) -> DataFrame:
     """Writes the files and gives digest() of them; null, empty, equal and no rows as in write_ids."""
-    path = path or shared_path(docs.sparkSession, "ids")
+    own, path = not path, path or shared_path(docs.sparkSession, "ids")
     write_ids(docs, path, tokenizer, **options)
+    if own:
+        Files(docs.sparkSession, path).delete_at_end()
     return digest(docs.sparkSession, path)
 
 
