@@ -3,7 +3,8 @@
 A document is a row of pre-tokens, the stretches within which a byte-pair tokenizer merges. Their lengths and token counts are
 the leaves of a segment tree, in blocks, with sums of both at every node. An edit cuts again only from the last pre-token that
 could see the edited place to the first place behind it where the old cuts hold again, counts the tokens of the new pre-tokens,
-puts them into the blocks that they touch, and updates the sums from there to the root.
+puts them into the blocks that they touch, and updates the sums from there to the root. The leaves can be stored beside the text
+(`counted`), so that later edits start from them and never count the whole text again (`edited`).
 """
 
 from __future__ import annotations
@@ -108,13 +109,17 @@ class SegmentTree:
 class Document:
     """A text with its pre-tokens and their token counts."""
 
-    def __init__(self, text: str, leaves: Leaves) -> None:
+    def __init__(self, text: str, leaves: Leaves, stored: bytes | None = None) -> None:
+        """`stored` has the leaves that `leaf_bytes` gave for this text; if they don't add up to it, it is counted anew."""
         self.text, self.leaves = text, leaves
         self.recounted = 0
-        self._build()
+        both = None if stored is None or len(stored) % 8 else np.frombuffer(stored, "<i4").reshape(-1, 2).astype(np.int64)
+        self._build(leaves.of(text) if both is None or both[:, 0].sum() != len(text) else both)
 
-    def _build(self) -> None:
-        both = self.leaves.of(self.text)
+    def leaf_bytes(self) -> bytes:
+        return np.concatenate(self.blocks).astype("<i4").tobytes()
+
+    def _build(self, both: np.ndarray) -> None:
         cuts = np.arange(0, len(both), LEAVES_A_BLOCK)
         self.blocks = [both[c : c + LEAVES_A_BLOCK] for c in cuts] or [both]
         self.tree = SegmentTree(np.add.reduceat(both, cuts, axis=0) if len(cuts) else np.zeros((1, 2), np.int64))
@@ -170,12 +175,15 @@ class Document:
         if last_block != block:
             self.blocks[last_block] = kept
         if len(self.blocks[block]) > GROWTH * LEAVES_A_BLOCK:
-            self._build()
+            self._build(np.concatenate(self.blocks))
             return
         for b in range(block, last_block + 1):
             self.tree.set(b, tuple(self.blocks[b].sum(0)))
 
 
+_EDITS = "array<struct<start:long,stop:long,new:string>>"
+
+
 def edit_counts(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_pretokens (before the edits), n_recounted (pre-tokens counted for them).
 
@@ -200,8 +208,46 @@ def edit_counts(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
-    kind = "array<struct<start:long,stop:long,new:string>>"
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast(kind)), run, ", ".join(f"{n} long" for n in names), "bpe")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast(_EDITS)), run, ", ".join(f"{n} long" for n in names), "bpe")
+
+
+_STORED = "doc_id long, text string, leaves binary, n_tokens long, n_recounted long"
+
+
+def _stored(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves = _leaves(tokenizer, pattern)
+        for b in batches:
+            rows = []
+            for text, own, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                doc = Document(text or "", leaves, own)
+                for e in edits or []:
+                    if e is not None:
+                        doc.edit(e["start"] or 0, e["stop"] or 0, e["new"] or "")
+                rows.append((text if text is None and not doc.text else doc.text, doc.leaf_bytes(), doc.n_tokens, doc.recounted))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "text", "leaves", "n_tokens", "n_recounted"])
+
+    return map_arrow(docs, run, _STORED, "bpe")
+
+
+def counted(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
+    """doc_id, text, leaves (what later edits start from), n_tokens and n_recounted (0) of each row of docs.
+
+    A null text stays null and has no tokens; empty texts have none; repeated rows are counted each by itself; other columns are
+    ignored; an empty table gives no rows.
+    """
+    none = F.lit(None)
+    return _stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), none.cast("binary").alias("leaves"), none.cast(_EDITS).alias("edits")), tokenizer, pattern)
+
+
+def edited(stored: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
+    """The same columns after the edits of `edits` (as in `edit_counts`), from the text and leaves that `counted` or `edited` gave.
+
+    Only what the edits touch is counted: n_recounted pre-tokens. Null leaves, and leaves of another text, mean that the whole
+    text is counted; nulls, repeated rows, other columns and empty tables as in `edit_counts`.
+    """
+    return _stored(stored.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("leaves").cast("binary"), F.col("edits").cast(_EDITS)), tokenizer, pattern)
 
 
 _LEAVES: dict[tuple[str, str], Leaves] = {}
