@@ -40,6 +40,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edits(read_documents(spark, sf_dir))
 
 
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.search(read_documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,5 +60,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.copies(read_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_counts, op2_packing, op3_id_files, op4_licenses, op5_quality, op6_secrets, op7_simhash, op8_toxicity, op9_jaccard, op9_links, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_edit_counts, op2_packing, op3_id_files, op4_licenses, op5_quality, op6_secrets, op7_simhash, op7_near, op8_toxicity, op9_jaccard, op9_links, op10_mixing)}
 ORACLES = {"op5_quality": quality.ORACLE, "op9_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}

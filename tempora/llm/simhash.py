@@ -18,6 +18,8 @@ from tempora.llm.common import written
 WORDS_A_TERM = 5
 BITS = 64
 RADIUS, SPARE = 3, 3
+#: Rows whose ids are divisible by this are searched for.
+SEARCHED = 20
 #: The last so much of a text is replaced in the edited text of the query.
 EDITED_PART = 4
 
@@ -112,6 +114,8 @@ def edits(docs: DataFrame) -> DataFrame:
     ids = texts.groupBy("doc_id", "tie", F.char_length("text").cast("long").alias("n_chars")).agg(F.count(F.lit(1)).alias("repeats"))
     placed = written(order(ids, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fingerprint-places")
     keyed = texts.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("k"), "tie", "text")
+    if not placed.where("repeats > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["k", "tie"])  # equal rows are made one before their texts are moved
     places = placed.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("k"), "tie", "doc_id", "n_chars", "repeats", F.coalesce("next_doc", F.lit(0)).cast("long").alias("next_k"), "next_tie", F.coalesce("last_doc", F.lit(0)).cast("long").alias("last_k"), "last_tie", "room_before")
     here = keyed.join(places, ["k", "tie"])
     part = lambda n: F.floor(n / EDITED_PART).cast("int")
@@ -136,6 +140,21 @@ def _blocks(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _in_tables(bits: DataFrame, name: str, masks: list[int]) -> DataFrame:
+    """Each fingerprint in each table, under the blocks that the table keeps."""
+    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+    return bits.select(F.col("bits").alias(name), F.explode(tables).alias("t")).select(name, "t.table", "t.key")
+
+
+def _met(wanted: DataFrame, found: DataFrame, radius: int, spare: int) -> DataFrame:
+    """Pairs a of wanted and b of found (the long column `bits`, no value twice) at most `radius` bits apart, each once, and their distance."""
+    masks = [sum(((1 << n) - 1) << a for a, n in chosen) for chosen in combinations(_blocks(radius + spare), spare)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    first = F.array_position(F.array(*[F.col("a").bitwiseAND(F.lit(m)) == F.col("b").bitwiseAND(F.lit(m)) for m in signed]), True) - 1
+    pairs = _in_tables(wanted, "a", signed).join(_in_tables(found, "b", signed), ["table", "key"]).where(distance(F.col("a"), F.col("b")) <= radius)
+    return pairs.where(first == F.col("table")).select("a", "b", distance(F.col("a"), F.col("b")).alias("distance"))
+
+
 def near_pairs(found: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
     """All pairs a < b of different fingerprints (the long column `bits`) at most `radius` bits apart, and their distance.
 
@@ -144,12 +163,30 @@ def near_pairs(found: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> Da
     in the first table that has it, so none comes twice. A key's rows meet in a join that may be split where it is skewed.
     """
     distinct = found.select("bits").where("bits IS NOT NULL").distinct()
-    blocks = _blocks(radius + spare)
-    masks = [sum(((1 << n) - 1) << a for a, n in chosen) for chosen in combinations(blocks, spare)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    rows = distinct.select("bits", F.explode(tables).alias("t")).select("bits", "t.table", "t.key")
-    a, b = rows.select(F.col("bits").alias("a"), "table", "key"), rows.select(F.col("bits").alias("b"), "table", "key")
-    first = F.array_position(F.array(*[F.col("a").bitwiseAND(F.lit(m)) == F.col("b").bitwiseAND(F.lit(m)) for m in signed]), True) - 1
-    pairs = a.join(b, ["table", "key"]).where((F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= radius))
-    return pairs.where(first == F.col("table")).select("a", "b", distance(F.col("a"), F.col("b")).alias("distance"))
+    return _met(distinct, distinct, radius, spare).where("a < b")
+
+
+def near_to(wanted: DataFrame, found: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
+    """For each fingerprint of wanted all others of found at most `radius` bits apart: a, b and their distance; both have a long column `bits`.
+
+    Equal fingerprints are one row, as in `near_pairs`, and aren't near themselves; null ones are left out; empty tables give none.
+    """
+    own = [df.select("bits").where("bits IS NOT NULL").distinct() for df in (wanted, found)]
+    return _met(*own, radius, spare).where("a <> b")
+
+
+def search(docs: DataFrame, every: int = SEARCHED, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
+    """doc_id, fingerprint, n_near and nearest for each row of docs whose id is divisible by `every`: how many other fingerprints all rows of docs have within the radius, and how far off the nearest of them is (null without one).
+
+    Rows equal in id and text come as often as they are there; null texts are empty; a null id isn't searched for but found;
+    other columns are ignored; an empty table gives no rows.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    counted = texts.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("repeats"))
+    # rows equal in id and text vote together, which leaves every bit as one of them sets it
+    found = written(fingerprints(texts, ["doc_id", "tie"]).join(counted.withColumnsRenamed({"doc_id": "own_id", "tie": "own_tie"}), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("tie") == F.col("own_tie"))).select("doc_id", "bits", "repeats"), "fingerprints")
+    asked = found.where(F.col("doc_id") % every == 0)
+    near = near_to(asked, found, radius, spare).groupBy(F.col("a").alias("bits")).agg(F.count(F.lit(1)).alias("n_near"), F.min("distance").alias("nearest"))
+    rows = asked.join(near, "bits", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")))
+    return rows.select("doc_id", spelled(F.col("bits")).alias("fingerprint"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("nearest").cast("int").alias("nearest"))

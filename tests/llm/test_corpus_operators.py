@@ -103,6 +103,34 @@ def test_jaccard_boundary_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(60)] == brute_components(sets)
 
 
+@pytest.mark.parametrize(("leaf", "pivots"), [(1, 2), (600, 3), (2500, 8)])
+def test_jaccard_regions_are_divided(spark, monkeypatch, leaf, pivots):
+    """Regions that pivots divide once or more, and one that they don't, against brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK_ITEMS", 500)
+    monkeypatch.setattr(jaccard, "LEAF_ITEMS", leaf)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    rnd, texts, turns = random.Random(12), [], []
+    # families that share a passage and so a region, near copies in each, and a chain from one to the next
+    passage = " ".join(f"p{i}" for i in range(12))
+    for f in range(7):
+        own = [f"f{f}w{i}" for i in range(60)]
+        for _ in range(9):
+            text = list(own)
+            for _ in range(rnd.randint(0, 6)):
+                text[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+            texts.append(passage + " " + " ".join(text))
+    text = texts[0].split()
+    for i in range(30):
+        text[12 + rnd.randrange(60)] = f"n{i}"
+        texts.append(" ".join(text))
+    divided = jaccard._divided
+    monkeypatch.setattr(jaccard, "_divided", lambda *a: (turns.append(1), divided(*a))[1])
+    sets = brute_sets(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(table(spark, texts, repeat=False, null_id=False)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(sets)
+    assert 1 <= len(turns) <= jaccard.LEVELS or leaf == 2500
+
+
 @pytest.mark.parametrize("block", [3, 400])
 def test_jaccard_links(spark, monkeypatch, block):
     """Every link of groups of near copies, whatever the blocks, and copies counted."""
@@ -145,6 +173,37 @@ def test_keep_one(spark):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+@pytest.mark.parametrize(("frequent", "at_once"), [(2, 300), (4, 2_000), (3, 10**6)])
+def test_jaccard_frequent_shingles(spark, monkeypatch, frequent, at_once):
+    """Shingles that are frequent in some workers' batches and rare in others."""
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "_AT_ONCE", at_once)
+    rnd = random.Random(frequent)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [*variants(5, 6), *(f"{common} " + " ".join(f"u{rnd.randrange(3)}" if rnd.random() < 0.1 else f"t{j}" for j in range(40)) for _ in range(40)), *(common + f" r{i} s{i} t{i}" for i in range(20)), common, common]
+    rnd.shuffle(texts)
+    sets = brute_sets(texts)
+    docs = table(spark, texts, repeat=False, null_id=False).repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(sets)
+    like = sum(1 for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    points = {frozenset(x) for x in sets if x}
+    pairs = sum(1 for i, a in enumerate(points) for b in list(points)[:i] if 100 * len(a & b) >= 80 * len(a | b))
+    assert jaccard.links(docs)[1].count() == pairs <= like
+
+
+def test_keep_one_judges_texts_not_ids(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, "x " + b + " tail end"), (None, "x " + b + " tail end"), (3, b.upper()), (4, None), (4, None), (5, " \n"), (None, ""), (6, a), (6, a)]
+    docs = spark.createDataFrame([(i, t, "k", 1, 2, "p", i, i) for i, t in rows], "doc_id long, text string, _kept string, _row int, place int, tie string, unnamed long, id_ long").repartition(4)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()), key=str)
+    wordless = [(4, None), (4, None), (5, " \n"), (None, "")]
+    assert kept == sorted([(1, a), (1, b), (None, "x " + b + " tail end"), *wordless], key=str)
+    assert jaccard.keep_one(docs).columns == docs.columns and {r["_kept"] for r in jaccard.keep_one(docs).collect()} == {"k"}
+    many = spark.createDataFrame([(7, a, i % 3) for i in range(500)] + [(None, b, i) for i in range(500)], "doc_id long, text string, place int").repartition(6)
+    assert sorted(((r["doc_id"], r["place"]) for r in jaccard.keep_one(many).collect()), key=str) == [(7, 0), (None, 0)]
+
+
 def test_block_links():
     rnd = np.random.default_rng(2)
     base = np.arange(40, dtype=np.uint64)
@@ -242,6 +301,20 @@ def test_mixing_without_ids(spark):
     assert 2 in parts.values()
 
 
+def test_mixing_repeated_rows(spark, monkeypatch):
+    """A row that makes most of a source is drawn for each of its copies; columns may be named like those used inside."""
+    monkeypatch.setattr(mixing, "STRETCH", 70)
+    rows = [(7, "w w w", "a", 1, "x")] * 1500 + [(None, "v v v v", "a", 2, None)] * 800 + [(i, "u u", "b", 3, "y") for i in range(900)] + [(i, None, None, None, None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, _rate string").repartition(5)
+    got = mixing.copies(docs)
+    assert got.count() == len(rows) and got.where("doc_id = 7 AND source = 'a'").select("copies").distinct().count() == 2
+    for r in got.where("size > 0").groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] / r["target"] - 1) < 0.05, r
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.where("_rate = 'y' AND copies = 3").count() == got.where("source = 'b'").agg(F.sum("copies")).first()[0]
+    assert sorted(map(tuple, mixing.digest(got).collect()), key=str) == sorted(map(tuple, mixing.digest(mixing.copies(docs.coalesce(1))).collect()), key=str)
+
+
 def spark_hash(*longs):
     h = 42
     for x in longs:
@@ -289,8 +362,32 @@ def test_near_fingerprints(spark):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_near_search(spark):
+    """All near fingerprints of the documents that are asked for, of texts that differ by little, against brute force."""
+    rnd, texts = random.Random(3), []
+    for i in range(40):
+        base = [f"w{i}x{j}" for j in range(400)]
+        for _ in range(6):
+            text = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                text[rnd.randrange(400)] = "other"
+            texts.append(" ".join(text))
+    docs = table(spark, [*texts, None, ""])
+    rows = simhash.search(docs, 4).collect()
+    bits = {brute_fingerprint(t) for t in [*texts, "", "no id here"]}
+    given = {i: brute_fingerprint(t or "") for i, t in enumerate([*texts, None, ""])}
+    asked = sorted([i for i in given if i % 4 == 0] + ([241] if 241 % 4 == 0 else []))
+    assert sorted(r["doc_id"] for r in rows) == asked
+    for r in rows:
+        own = given[r["doc_id"]]
+        near = [n for b in bits if b != own and (n := (own ^ b).bit_count()) <= simhash.RADIUS]
+        assert (int(r["fingerprint"], 16), r["n_near"], r["nearest"]) == (own, len(near), min(near, default=None))
+    assert sum(r["n_near"] for r in rows) > 40
+    assert simhash.search(docs.limit(0)).count() == 0
+
+
 def test_native_plans(spark):
-    for name in ("op7_simhash", "op10_mixing"):
+    for name in ("op7_simhash", "op7_near", "op10_mixing"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
@@ -306,6 +403,38 @@ def test_oracles(spark, name):
     assert sorted(got) == sorted(want)
 
 
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Rows without an id, repeated ids and rows, null and empty texts; and an empty table."""
+    good = [" ".join(f"{'alpha beta gamma delta'.split()[(i * 7 + j) % 4]}{i}x{j}" for j in range(120)) for i in range(12)]
+    rows = [(None, good[0], "a"), (None, good[0], "a"), (1, good[0], "a"), (2, good[1], None), (2, good[2], "b"), (3, None, "b"), (4, "", None), (5, good[3] + " password=hunter2hunter2", "c"), *[(6, good[4], "c")] * 5, *[(10 + i, good[5 + i], "a") for i in range(6)]]
+    frame = spark.createDataFrame([(i, t, "en", src, None if t is None else len(t)) for i, t, src in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, docs in (("odd", frame), ("empty", frame.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        kept = []
+        docs = queries.read_documents(spark, f"{tmp_path}/{name}")
+        for _, stage in corpus_pipeline.STAGES:
+            docs = written(stage(spark, docs, f"{tmp_path}/{name}"), "test-stage")
+            kept.append(docs.collect())
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == len(kept[-1])
+        if name == "empty":
+            assert not any(kept)
+            continue
+        assert len(kept[0]) == len(rows) - 2
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept[1]) == sorted((str(i), t) for i, t in [(1, good[0]), (2, good[1]), (2, good[2]), (5, rows[7][1]), (6, good[4]), *[(10 + i, good[5 + i]) for i in range(6)]])
+        assert not any("hunter2" in r["text"] for r in kept[2]) and len(kept[2]) == len(kept[1])
+        counts = {}
+        for r in kept[3]:
+            counts[r["doc_id"], r["text"]] = counts.get((r["doc_id"], r["text"]), 0) + 1
+        assert max(counts.values()) <= 2 and set(counts) <= {(r["doc_id"], r["text"]) for r in kept[2]}
+
+
+def test_fingerprints_of_one_row_many_times(spark):
+    docs = spark.createDataFrame([(1, "the same words again and again")] * 3000 + [(2, "other words")], "doc_id long, text string").repartition(5)
+    rows = simhash.edits(docs).groupBy("doc_id", "fingerprint", "near_next").count().collect()
+    assert sorted((r["doc_id"], r["count"]) for r in rows) == [(1, 3000), (2, 1)]
+    assert simhash.search(docs, 1).count() == 3001
+
+
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "source mixing", "packing"]
     docs = queries.read_documents(spark, SF)

@@ -269,6 +269,26 @@ def test_edit_counts(spark):
     assert editcount.edit_counts(docs.limit(0), BYTE_BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_edits_from_stored_leaves(spark):
+    enc, rnd = encoder(BYTE_BPE), random.Random(2)
+    texts = [*ODD, *(t * 20 for t in random_texts(8))]
+    stored = editcount.counted(table(spark, texts), BYTE_BPE, public_tokenizers.PATTERN)
+    before = {r["doc_id"]: r for r in stored.collect()}
+    for _ in range(3):
+        rows = stored.collect()
+        edits = [(r["doc_id"], r["text"], r["leaves"], [(a := rnd.randint(0, len(r["text"] or "")), a + rnd.randint(0, 9), rnd.choice(["", " new word", "\n", "é"]))]) for r in rows]
+        again = editcount.edited(spark.createDataFrame(edits, "doc_id long, text string, leaves binary, edits array<struct<start:long,stop:long,new:string>>"), BYTE_BPE, public_tokenizers.PATTERN)
+        for r, (_, text, _, [(a, b, new)]) in zip(sorted(again.collect(), key=str), sorted(edits, key=str), strict=True):
+            text = (text or "")[:a] + new + (text or "")[b:]
+            assert (r["text"] or "") == text and r["n_tokens"] == len(enc.of_text(text)) // enc.dtype.itemsize if text else r["n_tokens"] == 0
+            assert r["n_recounted"] < 40
+        stored = again
+    assert all(r["n_recounted"] == 0 for r in before.values()) and before[0]["text"] is None
+    wrong = spark.createDataFrame([(1, "some other text", before[4]["leaves"], None)], "doc_id long, text string, leaves binary, edits array<struct<start:long,stop:long,new:string>>")
+    assert editcount.edited(wrong, BYTE_BPE, public_tokenizers.PATTERN).first()["n_tokens"] == len(enc.of_text("some other text")) // enc.dtype.itemsize
+    assert editcount.counted(spark.createDataFrame([], SCHEMA), BYTE_BPE, public_tokenizers.PATTERN).count() == 0
+
+
 def test_licenses(spark):
     notices = list(licenses.TEMPLATES.items())
     texts = [*ODD, *random_texts(10), *[f"é intro\n{v}\nend" for _, v in notices], notices[1][1].replace("obtain a copy", "get one copy").replace("\"", ""), "\n".join(v for k, v in notices if "short" in k), "We talk about a license and about copyright here, but grant none.", "x " * 900 + notices[0][1] + " y" * 900]
