@@ -64,12 +64,9 @@ def _nan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["downsample_nan"] = _nan
 
-_ACROSS = {"sqr": "round(sum(value * value), 4)", "last": "arg_max(value, lset)", "stddev": "CASE WHEN count(*) > 1 THEN round(stddev_samp(value), 4) END", "stdvar": "CASE WHEN count(*) > 1 THEN round(var_samp(value), 6) END"}
+_ACROSS = {"sqr": "round(sum(value * value), 4)", "last": "arg_max(value, lset)", "stddev": "CASE WHEN count(*) > 1 THEN round(stddev_samp(value), 4) END", "stdvar": "CASE WHEN count(*) > 1 THEN round(var_samp(value), 9) END"}
 for _f, _expr in _ACROSS.items():
-    _simple(f"cross_series_{_f}", Query(START, STOP, [Column("*", f"{_f}_all", interpolator="prev_val")], _GRID_STEP), _grid_sql("prev_val", _TOLERANCE) + f"SELECT metric, time, {_expr} AS {_f} FROM y WHERE value IS NOT NULL GROUP BY metric, time", round_=(_f,) if _f in ("sqr", "stddev") else ())
-_across_stdvar = QUERIES["cross_series_stdvar"]
-QUERIES["cross_series_stdvar"] = lambda spark, sf_dir: _across_stdvar(spark, sf_dir).withColumn("stdvar", F.round("stdvar", 6))
-
+    _simple(f"cross_series_{_f}", Query(START, STOP, [Column("*", f"{_f}_all", interpolator="prev_val")], _GRID_STEP), _grid_sql("prev_val", _TOLERANCE) + f"SELECT metric, time, {_expr} AS {_f} FROM y WHERE value IS NOT NULL GROUP BY metric, time", round_=(_f,) if _f != "last" else ())
 _simple("agg_all_primitives", _all(parse_functions("*"), 5 * DAY), f"SELECT metric, lset, {_K.format(5 * DAY)}, {_columns(*parse_functions('*'))} {_IN} GROUP BY ALL", round_=("sum", "sqr"))
 _simple("product_columns", Query(START, STOP, product("click, view", "sum, count, max"), 3 * DAY), f"""
 SELECT lset, {_K.format(3 * DAY)}, {', '.join(f"{'round(sum(v) FILTER (metric = ' + repr(m) + '), 4)' if f == 'sum' else ('count(*)' if f == 'count' else 'max(v)') + ' FILTER (metric = ' + repr(m) + ')'} AS {chr(34)}{f}({m}){chr(34)}" for m in ('click', 'view') for f in ('sum', 'count', 'max'))}

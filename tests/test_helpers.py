@@ -173,3 +173,28 @@ def test_schema_sizes():
 def test_bad_filters(spark, text):
     with pytest.raises(ValueError):
         parse_filter(text)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tempora.sources.files import shared_root
+
+    def session(master, at=None):
+        conf = SimpleNamespace(get=lambda key, default=None: at)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert shared_root(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert "tempora" in shared_root(session("local[2]"))
+    with pytest.raises(ValueError):
+        shared_root(session("spark://host:7077"))
+
+
+def test_grouping_text(spark):
+    from pyspark.sql import functions as F
+
+    from tempora.functions.labels import lset, lset_of, subset
+
+    df = spark.createDataFrame([({"b": "x=1,y", "a": "p\\q", "c": ""},), ({"a": "é", "b": "2", "z": "3"},)], "labels map<string,string>")
+    rows = df.select(lset(subset(F.col("labels"), ["b", "a"])).alias("x"), lset_of(F.col("labels"), ["b", "a"]).alias("y"), lset_of(F.col("labels"), []).alias("z")).collect()
+    assert all(r["x"] == r["y"] and r["z"] == "" for r in rows) and rows[0]["y"] == "a=p\\\\q,b=x\\=1\\,y"
