@@ -1,4 +1,4 @@
-"""Command line: add, query, time, create, info, delete, check, version."""
+"""Command line: add, query, time, create, info, delete, check, compact, vacuum, unlock, version."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import functions
+
 import tempora
 from tempora.config import load
 from tempora.functions.aggregates import parse_functions
@@ -83,6 +85,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument(short, f"--{name}", default="")
     q.add_argument("-o", "--output", default="", choices=["", *formats.FORMATS])
     q.add_argument("--rollups", action="store_true")
+    q.add_argument("--prometheus", action="store_true", help="name aggregates' series by their metric alone, a step being a rollup bucket at most")
     i = sub.add_parser("info")
     i.add_argument("-m", "--names", action="store_true")
     i.add_argument("-n", "--count", action="store_true")
@@ -95,6 +98,9 @@ def parser() -> argparse.ArgumentParser:
     k = sub.add_parser("check")
     k.add_argument("metric")
     k.add_argument("labels", nargs="?", default="")
+    sub.add_parser("compact", help="make one piece of several in each partition")
+    sub.add_parser("vacuum", help="remove what writers that failed have left")
+    sub.add_parser("unlock", help="break the lock of a writer that is gone")
     t = sub.add_parser("time")
     t.add_argument("value", nargs="?", default="now")
     sub.add_parser("version")
@@ -133,8 +139,16 @@ def main(args: list[str] | None = None, spark=None) -> int:  # noqa: ANN001
         batch = (samples.read_json if o.json else samples.read_csv)(spark, o.file) if o.file else samples.from_arrays(spark, o.metric, o.labels, o.values, o.times)
         table.append(batch, o.override or settings.override)
     elif o.command == "query":
-        for line in formats.lines(answer(table, make_query(o.name, o.aggregates, o.filter, o.begin, o.end, o.last, o.step, o.window, o.groupBy, rollups=o.rollups)), o.output or settings.output):
+        asked = make_query(o.name, o.aggregates, o.filter, o.begin, o.end, o.last, o.step, o.window, o.groupBy, rollups=o.rollups)
+        got = table.select_prometheus(asked).withColumn("aggregate", functions.lit("")) if o.prometheus else answer(table, asked)
+        for line in formats.lines(got, o.output or settings.output):
             print(line)
+    elif o.command == "compact":
+        table.compact()
+    elif o.command == "vacuum":
+        print(f"{table.vacuum()} pieces removed")
+    elif o.command == "unlock":
+        table.break_lock()
     elif o.command == "info":
         print(json.dumps({k: v if isinstance(v, (str, list, int)) else v.__dict__ for k, v in table.describe(o.names, o.count).items()}, indent=1))
     elif o.command == "check":

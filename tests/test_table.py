@@ -164,6 +164,12 @@ def test_command_line(spark, tmp_path, capsys):
     run("query", "select max(cpu) as top from t where os == 'mac'", "-b", str(BASE), "-e", str(BASE + HOUR), "-o", "json")
     assert json.loads(capsys.readouterr().out)[0]["datapoints"][0][0] == 3
     assert query_json(Table.open(spark, path), {"metric": "cpu", "aggregators": ["count"], "start_time": str(BASE), "end_time": str(BASE + HOUR), "step": "1h"})[0]["datapoints"] == [[3.0, BASE]]
+    run("query", "cpu", "-a", "sum", "-b", str(BASE), "-e", str(BASE + HOUR), "-i", "1h", "-o", "csv", "--prometheus")
+    assert f'cpu,"os=mac",6.000000,{BASE}' in capsys.readouterr().out
+    run("compact")
+    run("vacuum")
+    run("unlock")
+    assert "pieces removed" in capsys.readouterr().out
     run("info", "-m", "-n")
     assert '"cpu"' in capsys.readouterr().out
     run("check", "cpu", "os=mac")
