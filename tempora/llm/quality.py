@@ -110,7 +110,11 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' own columns in docs' order; a row stays with its verdict, so ids may repeat."""
+    """The rows of docs that the rules keep, with docs' own columns, whatever their names, in docs' order.
+
+    Null and empty texts go, as in `rules`. Each row stays or goes by its own text, so ids may repeat, rows without an id are
+    judged too, and repeated rows stay or go together. An empty table gives no rows.
+    """
     names = docs.columns
     at = names.index("text")
 

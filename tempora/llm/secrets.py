@@ -406,7 +406,11 @@ def hidden(utf8: bytes) -> bytes:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with secrets in the texts replaced by [kind]; where docs has n_chars, it follows the new text of changed rows. Null texts stay null."""
+    """docs with secrets in the texts replaced by [kind]; where docs has n_chars, it follows the new text of changed rows.
+
+    Null texts stay null and empty ones empty; every row stays, repeated ones too, and equal texts change alike; other columns stay
+    as they are, whatever their names. An empty table gives no rows.
+    """
     at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
