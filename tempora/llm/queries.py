@@ -61,4 +61,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_edit_counts, op2_packing, op3_id_files, op4_licenses, op5_quality, op6_secrets, op7_simhash, op7_near, op8_toxicity, op9_jaccard, op9_links, op10_mixing)}
-ORACLES = {"op5_quality": quality.ORACLE, "op9_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op5_quality": quality.ORACLE, "op9_jaccard": jaccard.ORACLE, "op9_links": jaccard.LINKS_ORACLE, "op10_mixing": mixing.ORACLE}
