@@ -18,16 +18,22 @@ from tempora.operators.cells import ceil_div, floor_div
 #: Instants that one gap between two samples may fill.
 MAX_CELLS = 11_000_000
 #: Milliseconds of a series that one task looks at, and instants that are written out at a time.
-STRETCH, PART = 7 * DAY, 10_000
+STRETCH, PART = 35 * DAY, 10_000
 
 
-def _after(samples: DataFrame, value: str) -> DataFrame:
-    """metric, labels, lset, t_ms and the value of each sample, with the time and value of the one before it in its series, t0 and v0.
+def _after(samples: DataFrame, value: str, low: int, stop: int) -> DataFrame:
+    """metric, labels, lset, t_ms and the value of each sample from low to stop, with the time and value of the one before it in its series, t0 and v0.
 
-    Of samples at one time the first by value counts. A series is dealt by stretches of time, so a long one is many tasks' work:
-    what comes before a stretch's first sample is the last sample of the stretches before it, one row for each stretch.
+    Of samples at one time the first by value counts. Where the range is longer than one stretch of time, a series is dealt by
+    stretches, so a long one is many tasks' work: what comes before a stretch's first sample is the last sample of the stretches
+    before it, one row for each stretch.
     """
-    rows = samples.select("metric", "labels", "lset", "t_ms", value, floor_div(F.col("t_ms"), STRETCH).alias("stretch"))
+    rows = samples.where(F.col("t_ms").between(low, stop) & F.col(value).isNotNull()).select("metric", "labels", "lset", "t_ms", value, floor_div(F.col("t_ms") - low, STRETCH).alias("stretch"))
+    if stop - low < STRETCH:
+        whole = Window.partitionBy("metric", "lset").orderBy("t_ms")
+        first = rows.withColumn(value, F.min(value).over(whole.rangeBetween(0, 0)))
+        after = first.select("metric", "labels", "lset", "t_ms", value, F.lag("t_ms").over(whole).alias("t0"), F.lag(value).over(whole).alias("v0"))
+        return after.where("t0 IS NULL OR t0 < t_ms")
     ends = rows.groupBy("metric", "lset", "stretch").agg(F.max("t_ms").alias("end_t"), F.min(F.struct(-F.col("t_ms"), value)).alias("end"))
     before = Window.partitionBy("metric", "lset").orderBy("stretch")
     carried = ends.select("metric", "lset", "stretch", F.lag("end_t").over(before).alias("carried_t"), F.lag(F.col("end")[value]).over(before).alias("carried_v"))
@@ -54,7 +60,7 @@ def sampled(samples: DataFrame, start: int, stop: int, step: int, interpolator:
     """metric, labels, lset, k, v: the values of each numeric series at the grid. Samples before `start` may come before a first one."""
     if (stop - start) // step >= MAX_CELLS:
         raise ValueError(f"a grid of more than {MAX_CELLS} instants; choose a longer step")
-    rows = _after(samples.where((F.col("t_ms") <= stop) & F.col("v").isNotNull()), "v")
+    rows = _after(samples, "v", start - tolerance, stop)  # what is older is no value's neighbour
     t, t0 = F.col("t_ms"), F.col("t0")
     last = floor_div(t - start, step)
     first = F.greatest(F.coalesce(floor_div(t0 - start, step) + 1, F.lit(0).cast("long")), F.lit(0).cast("long"))
@@ -73,7 +79,7 @@ def sampled(samples: DataFrame, start: int, stop: int, step: int, interpolator:
 
 def sampled_text(samples: DataFrame, start: int, stop: int, step: int, tolerance: int | None) -> DataFrame:
     """The same for text series, which have a next value only: metric, labels, lset, k, s."""
-    rows = _after(samples.where((F.col("t_ms") <= stop) & F.col("s").isNotNull()), "s")
+    rows = _after(samples, "s", start, stop)
     last = floor_div(F.col("t_ms") - start, step)
     first = F.greatest(F.coalesce(floor_div(F.col("t0") - start, step) + 1, F.lit(0).cast("long")), F.lit(0).cast("long"))
     if tolerance is not None:
