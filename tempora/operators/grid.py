@@ -44,6 +44,11 @@ def _after(samples: DataFrame, value: str, low: int, stop: int) -> DataFrame:
     return after.where("t0 IS NULL OR t0 < t_ms")
 
 
+def _listed(first: Column, last: Column) -> Column:
+    """The instants from first to last as an array, where it is known to be short."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _spans(first: Column, last: Column) -> Column:
     """The instants from first to last as an array of spans (k0, k1) of PART at most."""
     none = F.array().cast("array<struct<k0:bigint,k1:bigint>>")
@@ -67,11 +72,13 @@ def sampled(samples: DataFrame, start: int, stop: int, step: int, interpolator:
     exact = last * step + start == t
     if interpolator in ("next_val", "linear"):
         first = F.greatest(first, ceil_div(t - tolerance - start, step))
+    short = interpolator in ("prev_val", "next_val", "linear") and tolerance // step < PART
+    made = _listed if short else _spans
+    instants = made(first, last)
     if interpolator == "prev_val":
         reach = F.least(F.coalesce(floor_div(t0 + tolerance - start, step), F.lit(-1).cast("long")), F.when(exact, last - 1).otherwise(last))
-        at = _instants(rows, F.concat(_spans(first, reach), F.when(exact, _spans(F.greatest(first, last), last)).otherwise(_spans(F.lit(1).cast("long"), F.lit(0).cast("long")))))
-    else:
-        at = _instants(rows, _spans(first, last))
+        instants = F.concat(made(first, reach), F.when(exact, made(F.greatest(first, last), last)).otherwise(made(F.lit(1).cast("long"), F.lit(0).cast("long"))))
+    at = rows.withColumn("k", F.explode(instants)) if short else _instants(rows, instants)
     g = F.col("k") * step + start
     value = F.when(g == t, F.col("v")).otherwise(between(interpolator, g, t0, F.col("v0"), t, F.col("v"), tolerance))
     return at.select("metric", "labels", "lset", "k", value.alias("v")).where("v IS NOT NULL")
