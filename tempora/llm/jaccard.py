@@ -15,7 +15,9 @@ one half from the other; so regions start from pivots that are near by construct
    A region with more than LEAF_ITEMS in boundary points and their windows is divided (`_divided`): pivots drawn from its boundary
    points, a Voronoi cell for each, in which a boundary point has its home with its nearest pivot p and from which every point y
    is also copied to the cell of a pivot q with d(y, q) <= d(y, p) + 2 r, as a neighbour of a point at home there may be no
-   further off. Cells are regions like the first ones, and are divided again while that makes them smaller.
+   further off. A point linked to the pivot at its home stays one that looks for neighbours there: it may link to a copied point
+   that isn't, and neither may be at the boundary anywhere else. Only what is known to be connected already isn't compared.
+   Cells are regions like the first ones, and are divided again while that makes them smaller.
    Regions that are small enough, or that pivots no longer divide, are joined exactly, in blocks of bounded size (`_boundary`).
 4. Links that connect points make components; a component's id is its least doc_id (`components`).
 5. All links are asked for apart (`links`): every two points of a region, blockwise, but for those that the triangle inequality
@@ -287,68 +289,85 @@ def _linked(percent: int) -> F.Column:
     return 100 * F.col("shared") >= percent * (F.col("n") + F.col("n_pivot") - F.col("shared"))
 
 
-def block_links(own: list[int], items: list[np.ndarray], n: np.ndarray, d: np.ndarray, edge: np.ndarray, pivot: int, percent: int) -> list[tuple[int, int]]:
+def block_links(own: list[int], items: list[np.ndarray], n: np.ndarray, d: np.ndarray, edge: np.ndarray, pivot: int, percent: int, home: np.ndarray | None = None, anchor: list[int | None] | None = None) -> list[tuple[int, int]]:
     """Links within a block that connect what isn't connected yet.
 
-    own: points; items: their shared shingles; n: sizes of their whole sets; d: distances to the region's pivot; edge: those at
-    the boundary that are to be joined with the others. Points within the radius of the pivot are connected already.
+    own: points; items: their shared shingles; n: sizes of their whole sets; d: distances to the region's pivot; edge: those that
+    are to be joined with the others; home: those that are so in this block or in another one of the region (without it: edge);
+    anchor: a point that each is known to be connected to, or None. Points within the radius of the pivot are connected already.
     """
     radius = 1 - percent / 100
+    home = edge if home is None else home
     sizes = np.array([len(s) for s in items])
     flat = np.unique(np.concatenate(items), return_inverse=True)[1]
     at = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
-    root = list(range(len(own) + 1))  # the last one is the pivot
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in np.nonzero(d <= radius + 1e-12)[0]:
-        root[i] = len(own)
+    root = np.arange(len(own) + 1)  # the last one is the pivot
+
+    def join(i: int, j: int) -> None:
+        if root[i] != root[j]:
+            root[root == root[j]] = root[i]
+
+    root[:-1][d <= radius + 1e-12] = len(own)
+    place: dict[int, int] = {pivot: len(own)}
+    for i, (p, q) in enumerate(zip(own, anchor or [None] * len(own), strict=True)):  # a point may come twice, once to be joined with and once to join
+        join(place.setdefault(p, i), i)
+        if q is not None:
+            join(place.setdefault(q, i), i)
     out = []
-    place: dict[int, int] = {}
-    for i, p in enumerate(own):  # a point at the boundary may come twice, once to be joined with and once to join
-        root[i] = find(place.setdefault(p, i))
     for i in np.nonzero(edge)[0]:
-        if find(i) == find(len(own)):
+        open_ = (root[:-1] != root[i]) & (np.abs(d - d[i]) <= radius + 1e-9)
+        if root[i] == root[-1]:
+            open_ &= ~home  # those at home look for this one themselves, unless they are connected to the pivot too
+        if not open_.any():
             continue
         mark[flat[at[i] : at[i + 1]]] = True
         shared = np.add.reduceat(mark[flat], at[:-1].clip(max=max(0, len(flat) - 1)), dtype=np.int64) if len(flat) else np.zeros(len(own), np.int64)
         mark[flat[at[i] : at[i + 1]]] = False
-        near = (np.abs(d - d[i]) <= radius + 1e-9) & (100 * shared >= percent * (n + n[i] - shared))
+        near = open_ & (100 * shared >= percent * (n + n[i] - shared))
         for j in np.nonzero(near)[0]:
-            a, b = find(i), find(int(j))
-            if a != b:
-                root[min(a, b)] = max(a, b)
+            if root[i] != root[j]:
+                join(i, j)
                 out.append((own[i], own[j]))
     return out
 
 
 def _regions(far: DataFrame, percent: int) -> DataFrame:
-    """The regions with something to join: region, the least distance of a boundary point, and the set elements of its boundary points and of all that may be their neighbours."""
-    radius, edges = 1 - percent / 100, F.col("edge")
-    regions = far.groupBy("region").agg(F.min(F.when(edges, F.col("d"))).alias("least"), F.max(F.when(~edges, F.col("d"))).alias("most"), F.count_if(edges).alias("edges"), F.sum(F.when(edges, F.col("n"))).alias("edge_items"), F.sum("n").alias("all_items"))
-    # one point at the boundary with nothing in its window has no neighbour here
+    """The regions with something to join: region, foreign (points that are neither at home here nor linked to the pivot, but may be neighbours of linked ones), the least distance of a point that seeks (`_seeks`), and the set elements of those and of all that may be their neighbours."""
+    radius = 1 - percent / 100
+    far_off = F.col("d") > radius + 1e-12
+    foreign = far.groupBy("region").agg(F.count_if(~F.col("edge") & far_off & (F.col("d") <= 2 * radius + 1e-9)).alias("foreign"), *[
+        f.alias(name + end) for end, seeks in (("", F.col("edge")), ("_off", F.col("edge") & far_off))
+        for name, f in (("least", F.min(F.when(seeks, F.col("d")))), ("most", F.max(F.when(~seeks, F.col("d")))), ("edges", F.count_if(seeks)), ("edge_items", F.sum(F.when(seeks, F.col("n")))))
+    ], F.sum("n").alias("all_items"))
+    regions = foreign.select("region", "foreign", "all_items", *[F.when(F.col("foreign") > 0, F.col(x)).otherwise(F.col(f"{x}_off")).alias(x) for x in ("least", "most", "edges", "edge_items")])
+    # one point that seeks with nothing in its window has no neighbour here
     return regions.where((F.col("edges") > 1) | (F.col("edges") == 1) & (F.col("most") >= F.col("least") - radius - 1e-9))
 
 
+def _seeks(percent: int) -> F.Column:
+    """Whether a row of `far`, with its region's `foreign`, is to be joined with the others: one that is linked to the pivot needs none but foreign ones."""
+    return F.col("edge") & ((F.col("d") > 1 - percent / 100 + 1e-12) | (F.col("foreign") > 0))
+
+
 def _divided(points: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """The Voronoi cells of regions (rows of `far`), as rows of `far`, with `linked` where a point is within the radius of the cell's pivot."""
+    """The Voronoi cells of regions (rows of `far`), as rows of `far`, with `linked` where a point is within the radius of the cell's pivot.
+
+    Every link of a point with `edge` to a point of its region is one to a pivot or one of its home cell, where it keeps `edge`. A
+    pivot has all of its links at once. `anchor` is a point that a point is known to be connected to.
+    """
     radius = 1 - percent / 100
     items = points.select("point", F.col("items").alias("own_items"))
-    first = Window.partitionBy("region").orderBy(F.xxhash64("point"), "point")
-    drawn = large.where("edge").withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS).select("region", "point", "n")
+    first = Window.partitionBy("region").orderBy(F.col("d") <= radius + 1e-12, F.xxhash64("point"), "point")  # the pivot's own links divide least
+    drawn = large.where("edge").withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS).select("region", "point", "n", "anchor")
     drawn = drawn.join(items, "point")
-    pivots = drawn.groupBy("region").agg(F.collect_list(F.struct("point", "n", F.col("own_items").alias("items"))).alias("pivots"))  # PIVOTS at most
-    both = large.select("region", "point", "n", "edge").join(items, "point").join(pivots, "region")
+    pivots = drawn.groupBy("region").agg(F.collect_list(F.struct("point", "n", "anchor", F.col("own_items").alias("items"))).alias("pivots"))  # PIVOTS at most
+    both = large.select("region", "point", "n", "edge", "anchor").join(items, "point").join(pivots, "region")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for region, point, n, edge, own, of in zip(*(b.column(k).to_pylist() for k in ("region", "point", "n", "edge")), b.column("own_items"), b.column("pivots").to_pylist(), strict=True):
+            for region, point, n, edge, anchor, own, of in zip(*(b.column(k).to_pylist() for k in ("region", "point", "n", "edge", "anchor")), b.column("own_items"), b.column("pivots").to_pylist(), strict=True):
                 mine = np.frombuffer(own.as_py(), "<u8")
                 met = sorted(of, key=lambda q: q["point"])
                 shared = [n if q["point"] == point else shared_items(mine, np.frombuffer(q["items"], "<u8")) for q in met]
@@ -357,26 +376,29 @@ def _divided(points: DataFrame, large: DataFrame, percent: int) -> DataFrame:
                 for j, q in enumerate(met):
                     if d[j] <= d[home] + 2 * radius + 1e-9:
                         linked = 100 * shared[j] >= percent * (n + q["n"] - shared[j])
-                        rows.append((xxhash.xxh64_intdigest(f"{region}:{q['point']}") - (1 << 63), q["point"], point, n, d[j], bool(edge and j == home and not linked), bool(linked), region))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["region", "pivot", "point", "n", "d", "edge", "linked", "parent"])
+                        known = anchor
+                        if linked and anchor is None:
+                            known = q["point"] if q["anchor"] is None else q["anchor"]
+                        rows.append((xxhash.xxh64_intdigest(f"{region}:{q['point']}") - (1 << 63), q["point"], point, n, d[j], bool(edge and j == home and q["point"] != point), known, bool(linked), region))
+            columns = list(zip(*rows, strict=True)) or [[]] * 9
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["region", "pivot", "point", "n", "d", "edge", "anchor", "linked", "parent"])
 
-    columns = both.select("region", "point", "n", "edge", "own_items", "pivots")
-    return written(map_arrow(columns, run, "region long, pivot long, point long, n long, d double, edge boolean, linked boolean, parent long", "jaccard"), "jaccard-cells")
+    columns = both.select("region", "point", "n", "edge", "anchor", "own_items", "pivots")
+    return written(map_arrow(columns, run, "region long, pivot long, point long, n long, d double, edge boolean, anchor long, linked boolean, parent long", "jaccard"), "jaccard-cells")
 
 
 def _boundary(points: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links a, b of boundary points within their windows, enough of them to connect what is connected."""
     distance = 1 - F.col("shared") / (F.col("n") + F.col("n_pivot") - F.col("shared"))
-    far = found.select(F.col("pivot").alias("region"), "pivot", "point", "n", distance.alias("d"), (~_linked(percent)).alias("edge"))
+    far = found.select(F.col("pivot").alias("region"), "pivot", "point", "n", distance.alias("d"), (~_linked(percent)).alias("edge"), F.when(_linked(percent), F.col("pivot")).alias("anchor"))
     links = []
     for _ in range(LEVELS):
         regions = _regions(far, percent)
-        large = written(regions.where(F.col("all_items") > LEAF_ITEMS).select("region", "all_items"), "jaccard-large")
+        large = written(regions.where(F.col("all_items") > LEAF_ITEMS).select("region", "foreign", "all_items"), "jaccard-large")
         if large.isEmpty():
             break
-        cells = _divided(points, far.join(large.select("region"), "region"), percent)
+        cells = _divided(points, far.join(large.select("region", "foreign"), "region").withColumn("edge", _seeks(percent)).drop("foreign"), percent)
         links.append(cells.where("linked AND point <> pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b")))
         largest = _regions(cells, percent).join(cells.select("region", "parent").distinct(), "region").groupBy(F.col("parent").alias("region")).agg(F.max("all_items").alias("cell_items"))
         smaller = written(large.join(largest, "region", "left").where(F.coalesce("cell_items", F.lit(0)) < SMALLER * F.col("all_items")).select("region"), "jaccard-smaller")
@@ -393,21 +415,22 @@ def _boundary(points: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_blocks(points: DataFrame, far: DataFrame, percent: int) -> DataFrame:
-    """Links a, b of the boundary points of regions, within their windows, block by block."""
-    radius, edges = 1 - percent / 100, F.col("edge")
+    """Links a, b of the points of regions that seek, within their windows, block by block."""
+    radius = 1 - percent / 100
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_ITEMS).cast("int")
-    regions = _regions(far, percent).select("region", "least", blocks("all_items").alias("rows_"), blocks("edge_items").alias("edges_"))
-    sized = far.join(regions, "region").where(edges | (F.col("d") >= F.col("least") - radius - 1e-9)).select("region", "pivot", "point", "n", "d", "edge", "rows_", "edges_")
-    # a point stands in one block of rows, against each block of edges; one at the boundary also in one block of edges, against each of rows
+    regions = _regions(far, percent).select("region", "least", "foreign", blocks("all_items").alias("rows_"), blocks("edge_items").alias("edges_"))
+    sized = far.join(regions, "region").withColumn("edge", _seeks(percent)).where(F.col("edge") | (F.col("d") >= F.col("least") - radius - 1e-9)).select("region", "pivot", "point", "n", "d", "edge", "anchor", "rows_", "edges_")
+    # a point stands in one block of rows, against each block of edges; one that seeks also in one block of edges, against each of rows
     mine = lambda c: F.pmod(F.xxhash64("point"), F.col(c)).cast("int")
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    as_row = sized.select("region", "pivot", "point", "n", "d", F.lit(False).alias("edge"), mine("rows_").alias("i"), F.explode(every("edges_")).alias("j"))
-    as_edge = sized.where("edge").select("region", "pivot", "point", "n", "d", "edge", F.explode(every("rows_")).alias("i"), mine("edges_").alias("j"))
+    as_row = sized.select("region", "pivot", "point", "n", "d", F.lit(False).alias("edge"), F.col("edge").alias("home"), "anchor", mine("rows_").alias("i"), F.explode(every("edges_")).alias("j"))
+    as_edge = sized.where("edge").select("region", "pivot", "point", "n", "d", "edge", F.col("edge").alias("home"), "anchor", F.explode(every("rows_")).alias("i"), mine("edges_").alias("j"))
     rows = as_row.unionByName(as_edge).join(points.select("point", "items"), "point")
 
     def run(table: pa.Table) -> pa.Table:
         items = [np.frombuffer(x.as_py(), "<u8") for x in table["items"]]
-        found = block_links(table["point"].to_pylist(), items, table["n"].to_numpy(), table["d"].to_numpy(), table["edge"].to_numpy(zero_copy_only=False), table["pivot"][0].as_py(), percent)
+        edge, home = (table[k].to_numpy(zero_copy_only=False) for k in ("edge", "home"))
+        found = block_links(table["point"].to_pylist(), items, table["n"].to_numpy(), table["d"].to_numpy(), edge, table["pivot"][0].as_py(), percent, home, table["anchor"].to_pylist())
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")

@@ -131,6 +131,53 @@ def test_jaccard_regions_are_divided(spark, monkeypatch, leaf, pivots):
     assert 1 <= len(turns) <= jaccard.LEVELS or leaf == 2500
 
 
+def stretches(rnd):
+    """Sets of which the first links to the second, that to the third and that to the fourth, and a far set, the first one here, as a pivot."""
+    return [set(range(k, k + 100)) for k in (90, 0, 10, 20, 30)]
+
+
+def walks(rnd):
+    """Sets that branch off from one another by up to seven items."""
+    found = [list(range(60))]
+    for i in range(40):
+        own = list(rnd.choice(found[-6:]))
+        for j in range(rnd.randint(1, 7)):
+            own[rnd.randrange(60)] = 1000 + 10 * i + j if rnd.random() < 0.6 else rnd.randrange(100, 140)
+        found.append(own)
+    out = list({frozenset(x) for x in found})
+    rnd.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("family", "smaller", "leaf", "pivots", "block"), [(stretches, 0.7, 1, 2, 100_000), (walks, 2, 1, 3, 200), (walks, 2, 600, 2, 100_000)])
+def test_jaccard_links_over_edges_of_cells(spark, monkeypatch, family, smaller, leaf, pivots, block):
+    """Two points, each linked to the pivot of its own cell, whose link alone connects the cells; divided once and, with smaller at 2, again and again."""
+    monkeypatch.setattr(jaccard, "SMALLER", smaller)
+    monkeypatch.setattr(jaccard, "LEAF_ITEMS", leaf)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "BLOCK_ITEMS", block)
+    rnd, points, found, sets = random.Random(1), [], [], []
+    for region in range(24 if family is stretches else 8):
+        own = [{10_000 * region + x for x in s} for s in family(rnd)]
+        ids = [rnd.getrandbits(62) for _ in own]
+        sets += own
+        points += [(p, len(s), bytearray(np.array(sorted(s), "<u8").tobytes())) for p, s in zip(ids, own, strict=True)]
+        found += [(p, ids[0], len(s), len(own[0]), len(s & own[0])) for p, s in zip(ids[1:], own[1:], strict=True)]
+    links = jaccard._boundary(spark.createDataFrame(points, "point long, n long, items binary"), spark.createDataFrame(found, "point long, pivot long, n long, n_pivot long, shared long"), 80).collect()
+    place, root = {p: i for i, (p, _, _) in enumerate(points)}, list(range(len(points)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in [*((place[r["a"]], place[r["b"]]) for r in links), *((place[p], place[q]) for p, q, n, m, k in found if 100 * k >= 80 * (n + m - k))]:
+        assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert [find(i) for i in range(len(points))] == brute_components(sets)
+
+
 @pytest.mark.parametrize("block", [3, 400])
 def test_jaccard_links(spark, monkeypatch, block):
     """Every link of groups of near copies, whatever the blocks, and copies counted."""
@@ -229,6 +276,20 @@ def test_block_links():
     assert groups(find) == groups(lambda i: want[i])
 
 
+def test_block_links_of_points_connected_to_the_pivot():
+    """A point that is connected to the pivot, by distance or through another one, still meets those that don't look for it themselves."""
+    items = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 10, 20, 20, 30)]
+    n, d = np.full(5, 100), np.array([1 - (100 - k) / (100 + k) for k in (0, 10, 20, 20, 30)])
+    edge, abroad = np.array([False, True, True, False, False]), np.array([False, True, True, True, False])
+    own = [7, 8, 9, 9, 10]
+    pairs = lambda *a: sorted(tuple(sorted(x)) for x in jaccard.block_links(own, items, n, d, edge, 7, 80, *a))
+    assert pairs(abroad) == [(8, 9), (9, 10)]
+    assert pairs(abroad, [None, None, 8, 8, None]) == [(9, 10)]
+    assert pairs(abroad, [None, 5, 5, 5, 5]) == []
+    # one that is at home elsewhere in the region, and so looks itself, is left to do so
+    assert pairs(np.array([False, True, True, True, True]), [None, None, 8, 8, None]) == []
+
+
 def test_connected(spark):
     rnd = random.Random(4)
     links = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)]
