@@ -367,16 +367,25 @@ def _delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streams
 
+#: Events of a file that a stream reads, about.
+ROWS_AN_EVENT_FILE = 250_000
+
 
 def _event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as files of a folder, in order of time, and the stream of their samples, one file a batch."""
+    """Events as files of a folder, in order of time, and the stream of their samples, a third of the time a batch.
+
+    Each third has as many files, so that a batch is what maxFilesPerTrigger says; each gets rows for all its files, as the
+    least third has many times more of them than files and they are dealt in turn.
+    """
     path = folder(spark, "stream")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     third, t = (STOP - START) // 3, F.unix_millis(F.col("ts").cast("timestamp"))
-    for i in range(3):
-        inside = (t >= START + i * third if i else F.lit(True)) & (t < START + (i + 1) * third if i < 2 else F.lit(True))
-        rows.where(inside).coalesce(1).write.mode("append").parquet(path)
-    return samples.from_events(events_stream(spark, path, rows.schema, maxFilesPerTrigger="1"))
+    inside = [(t >= START + i * third if i else F.lit(True)) & (t < START + (i + 1) * third if i < 2 else F.lit(True)) for i in range(3)]
+    files = max(1, min(rows.agg(*[F.count_if(x) for x in inside]).first()) // ROWS_AN_EVENT_FILE)
+    for x in inside:
+        part = rows.where(x)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return samples.from_events(events_stream(spark, path, rows.schema, maxFilesPerTrigger=str(files)))
 
 
 @register("stream_ingest", "SELECT metric, lset, t AS t_ms, v FROM (" + EVENTS + ")")

@@ -344,3 +344,31 @@ def test_streams_are_tried_again_and_drained(spark, tmp_path):
     query.stop()
     with pytest.raises(ValueError):
         t.select_prometheus(Query(0, 1, [Column("*")]))
+
+
+def test_the_last_time_rule_is_called_for_groups_of_series(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tempora.streaming.ingest.SERIES_GROUPS", 4, raising=False)
+    first = [("m", {"i": str(i)}, 10, "x" if i == 7 else 1.0) for i in range(40)] + [("m", {}, 20, 1.0)]
+    second = [("m", {"i": str(i)}, 10 + i % 2, 2.0) for i in range(40)] + [("m", {"new": "1"}, 5, 3.0), ("m", {}, 20, 2.0), ("m", {}, 21, 4.0)]
+    for points in (first, second):
+        rows(spark, *points).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = monotonic(events_stream(spark, str(tmp_path / "in"), samples.SCHEMA, maxFilesPerTrigger="1"))
+    q = got.writeStream.format("memory").queryName("groups").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    taken = first + [("m", {"i": str(i)}, 11, 2.0) for i in range(1, 40, 2) if i != 7] + [("m", {"new": "1"}, 5, 3.0), ("m", {}, 21, 4.0)]
+    key = lambda r: (str(r[1]), r[2])
+    assert sorted(((r["metric"], r["labels"], r["t_ms"], r["s"] or r["v"]) for r in spark.table("groups").collect()), key=key) == sorted(taken, key=key)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_events_are_streamed_from_several_files_a_batch(spark, tmp_path, monkeypatch):
+    from tempora.plans import catalog_more
+
+    monkeypatch.setattr(catalog_more, "ROWS_AN_EVENT_FILE", 100, raising=False)
+    made = iter(range(9))
+    monkeypatch.setattr(catalog_more, "folder", lambda spark, name: str(tmp_path / f"{name}{next(made)}"))
+    got = catalog_more._stream_monotonic(spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    files = len(list(tmp_path.glob("stream*/*.parquet")))
+    assert files > 3 and not files % 3
+    assert len(list(tmp_path.glob("checkpoint*/commits/[0-9]*"))) == 3
