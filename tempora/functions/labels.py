@@ -57,18 +57,19 @@ def compare_labels(a: dict[str, str], b: dict[str, str]) -> int:
 
 def lset(labels: Column) -> Column:
     """The canonical text of a label map; a backslash goes before a comma, an equals sign or a backslash of a value."""
-    value = lambda e: F.regexp_replace(e["value"], r"([,=\\])", r"\\$1")
-    return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), value(e))), ",")
+    # sorted by the type's own order and escaped without a pattern: this is done for every sample that comes in
+    return F.array_join(F.transform(F.sort_array(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), _escaped(e["value"]))), ",")
+
+
+def _escaped(value: Column) -> Column:
+    for sign in ("\\", ",", "="):
+        value = F.replace(value, F.lit(sign), F.lit("\\" + sign))
+    return value
 
 
 def lset_of(labels: Column, names: list[str]) -> Column:
     """The canonical text of some labels of a map that has them all, without looking at the others: plain string functions, which stay in generated code."""
-    parts = []
-    for n in sorted(names):
-        value = labels[n]
-        for sign in ("\\", ",", "="):
-            value = F.replace(value, F.lit(sign), F.lit("\\" + sign))
-        parts.append(F.concat(F.lit(f"{n}="), value))
+    parts = [F.concat(F.lit(f"{n}="), _escaped(labels[n])) for n in sorted(names)]
     return F.concat_ws(",", *parts) if parts else F.lit("")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +49,11 @@ def aggregate(rows: DataFrame, keys: list[Column | str], wanted: Wanted, step: i
     return grouped.select(*own, *out)
 
 
-def rolled_up(samples: DataFrame, granularity: int) -> DataFrame:
-    """Rollup rows: all primitives of each series and bucket. Text isn't rolled up; values that aren't finite stay out of the sums."""
-    bucket = (F.col("t_ms") - F.pmod(F.col("t_ms"), F.lit(granularity))).alias("bucket_ms")
+def rolled_up(samples: DataFrame, granularity: int, before: Sequence[Column] = ()) -> DataFrame:
+    """Rollup rows, after columns that follow from bucket_ms: all primitives of each series and bucket. Text isn't rolled up; values that aren't finite stay out of the sums."""
+    bucket = F.col("t_ms") - F.pmod(F.col("t_ms"), F.lit(granularity))
     v, x = F.col("v"), finite(F.col("v"))
-    return samples.where("v IS NOT NULL").groupBy("metric", "lset", bucket).agg(
+    return samples.where("v IS NOT NULL").withColumn("bucket_ms", bucket).groupBy(*before, "metric", "lset", "bucket_ms").agg(
         F.any_value("labels").alias("labels"), F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(x), F.lit(0.0)).alias("sum"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("sqr"),
         F.max(v).alias("max"), F.min(v).alias("min"), F.max_by(v, F.struct("t_ms", v)).alias("last"), F.max("t_ms").alias("last_t"),
     )

@@ -104,8 +104,12 @@ def from_arrays(spark: SparkSession, metric: str, labels: str, values: str, time
     return from_rows(spark, [(check_metric(metric), parse_labels(labels), t, float(x) if numeric else x) for t, x in zip(ts, vs, strict=True)])
 
 
+def fault() -> Column:
+    """Why a sample can't be stored; null if it can."""
+    both = F.col("v").isNotNull() & F.col("s").isNotNull()
+    return F.when(F.col("metric").isNull() | ~valid_metric(F.col("metric")), "bad metric name").when(F.col("t_ms").isNull() | ~F.col("t_ms").between(MIN_TIME, MAX_TIME), "time out of range").when(both | (F.col("v").isNull() & F.col("s").isNull()), "no value, or two")
+
+
 def faults(df: DataFrame) -> DataFrame:
     """Samples that can't be stored, with the reason."""
-    both = F.col("v").isNotNull() & F.col("s").isNotNull()
-    why = F.when(F.col("metric").isNull() | ~valid_metric(F.col("metric")), "bad metric name").when(F.col("t_ms").isNull() | ~F.col("t_ms").between(MIN_TIME, MAX_TIME), "time out of range").when(both | (F.col("v").isNull() & F.col("s").isNull()), "no value, or two")
-    return df.withColumn("reason", why).where("reason IS NOT NULL")
+    return df.withColumn("reason", fault()).where("reason IS NOT NULL")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 
@@ -39,27 +39,32 @@ LATE_MS = 59 * MINUTE
 #: A lock that is so old was left by a writer that is gone; committing is safe without it.
 STALE_MS = 6 * 60 * MINUTE
 #: Samples of a file, about, and pieces of a partition from which they are made one.
-ROWS_A_FILE, MAX_PIECES = 5_000_000, 40
+ROWS_A_FILE, MAX_PIECES = 1_000_000, 40
 SERIES_SCHEMA = "metric string, lset string, labels map<string,string>, numeric boolean, finite boolean, max_t long, samples long, part_start long"
 ROLLUP_SCHEMA = "metric string, lset string, bucket_ms long, labels map<string,string>, count long, sum double, sqr double, max double, min double, last double, last_t long, part_start long"
 
 
-def accepted(batch: DataFrame, last: DataFrame | None, override: bool = False) -> DataFrame:
+def accepted(batch: DataFrame, last: DataFrame | None, override: bool = False, deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The samples of a batch that a table takes.
 
     By default a sample must be later than all that its series (metric, lset) has in `last` (metric, lset, max_t), and of
     samples at one time the first by value stays. With `override`, samples up to LATE_MS before that are taken too and the
-    one with the greatest value stands for its time.
+    one with the greatest value stands for its time. `deal` shuffles the rows by part_start and _deal, which follow from
+    series and time; the rows then keep that place and are in order of the part, the series and the time.
     """
-    one = Window.partitionBy("metric", "lset", "t_ms")
+    rows = batch
+    if last is not None:
+        limit = F.col("max_t") - LATE_MS if override else F.col("max_t")
+        rows = rows.join(last.select("metric", "lset", "max_t"), ["metric", "lset"], "left").where(F.col("max_t").isNull() | (F.col("t_ms") > limit)).select(*batch.columns)
+    keys = ["metric", "lset", "t_ms"]
+    if deal is not None:
+        rows, keys = deal(rows), ["part_start", *keys, "_deal"]
     order = [F.col("v").asc_nulls_last(), F.col("s").asc_nulls_last()] if not override else [F.col("v").desc_nulls_last(), F.col("s").desc_nulls_last()]
     if "arrival" in batch.columns:
         order = [F.col("arrival").desc() if override else F.col("arrival").asc()]
-    rows = batch.withColumn("_n", F.row_number().over(one.orderBy(*order))).where("_n = 1").drop("_n", "arrival")
-    if last is None:
-        return rows
-    limit = F.col("max_t") - LATE_MS if override else F.col("max_t")
-    return rows.join(last.select("metric", "lset", "max_t"), ["metric", "lset"], "left").where(F.col("max_t").isNull() | (F.col("t_ms") > limit)).select(*rows.columns)
+    # the first has none before it; a rank would be looked for before the shuffle too, with a sort that few repeated times repay
+    first = F.lag(F.lit(True)).over(Window.partitionBy(*keys).orderBy(*order)).isNull()
+    return rows.withColumn("_first", first).where("_first").drop("_first", "_deal", "arrival")
 
 
 def mixed_types(batch: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -73,7 +78,7 @@ def mixed_types(batch: DataFrame, known: DataFrame | None) -> DataFrame:
 def series_of(samples: DataFrame) -> DataFrame:
     """A row for each series and partition of samples: labels, whether it has numbers, all of them finite, its last time and how many."""
     odd = F.isnan("v") | (F.abs("v") == float("inf"))
-    return samples.groupBy("metric", "lset", "part_start").agg(F.any_value("labels").alias("labels"), F.any_value(F.col("v").isNotNull()).alias("numeric"), (~F.max(F.coalesce(odd, F.lit(False)))).alias("finite"), F.max("t_ms").alias("max_t"), F.count(F.lit(1)).alias("samples"))
+    return samples.groupBy("part_start", "metric", "lset").agg(F.any_value("labels").alias("labels"), F.any_value(F.col("v").isNotNull()).alias("numeric"), (~F.max(F.coalesce(odd, F.lit(False)))).alias("finite"), F.max("t_ms").alias("max_t"), F.count(F.lit(1)).alias("samples"))
 
 
 class Table:
@@ -324,40 +329,65 @@ class Table:
         """
         with self.writing():
             staged = self._staged(batch.select(*[c for c in batch.columns if c in (*canonical.COLUMNS, "arrival")]))
-            if (bad := canonical.faults(staged).first()) is not None:
+            known = self.series() if self.pieces.get("series") else None
+            n, bad, mixed, late, fresh = self._looked_at(staged, known, override)
+            if bad:
+                bad = canonical.faults(staged).first()
                 raise ValueError(f"{bad['reason']}: {bad['metric']!r} at {bad['t_ms']}")
-            known = self.series()
-            if (bad := mixed_types(staged, known.join(staged.select("metric", "lset").distinct(), ["metric", "lset"], "left_semi")).first()) is not None:
+            if mixed:
+                bad = mixed_types(staged, None if known is None else known.join(staged.select("metric", "lset").distinct(), ["metric", "lset"], "left_semi")).first()
                 raise ValueError(f"series {bad['metric']}{{{bad['lset']}}} holds numbers or text, not both")
-            part = F.col("t_ms") - F.pmod(F.col("t_ms"), F.lit(self.schema.partition_ms))
-            rows = accepted(staged, known, override).withColumn("part_start", part)
+            if not fresh:
+                self._add(None, [])
+                return
+            last = known if late else None
             if not override:
-                self._add(rows, staged.count(), [])
+                self._add(accepted(staged, last, deal=lambda rows: self._dealt(rows, n)), [])
                 return
-            rows = self._staged(rows)
+            part = F.col("t_ms") - F.pmod(F.col("t_ms"), F.lit(self.schema.partition_ms))
+            rows = self._staged(accepted(staged, last, True).withColumn("part_start", part))
             touched = [r[0] for r in rows.select("part_start").distinct().toLocalIterator()]
             old = self._read("samples", canonical.SCHEMA + ", part_start long", parts=touched)
             both = rows.withColumn("arrival", F.lit(1)).unionByName(old.withColumn("arrival", F.lit(0)))
-            self._add(accepted(both, None, True), both.count(), touched)
+            n = both.count()
+            self._add(accepted(both, None, True, lambda rows: self._dealt(rows, n)), touched)
+
+    def _looked_at(self, staged: DataFrame, known: DataFrame | None, override: bool) -> tuple[int, ...]:
+        """In one pass over a batch: its samples and those that can't be stored; its series that would be of mixed types, that have
+        late samples and that have others. Only where there are late ones are the last times joined to the samples."""
+        number = F.col("v").isNotNull()
+        seen = staged.groupBy("metric", "lset").agg(F.count(F.lit(1)).alias("n"), F.count_if(canonical.fault().isNotNull()).alias("bad"), F.min(number).alias("all"), F.max(number).alias("any"), F.min("t_ms").alias("from_t"), F.max("t_ms").alias("to_t"))
+        if known is None:
+            seen = seen.select("*", F.lit(None).cast("boolean").alias("numeric"), F.lit(None).cast("long").alias("max_t"))
+        else:
+            seen = seen.join(known.select("metric", "lset", "numeric", "max_t"), ["metric", "lset"], "left")
+        limit = F.col("max_t") - LATE_MS if override else F.col("max_t")
+        mixed = (F.col("all") != F.col("any")) | (F.col("numeric") != F.col("all"))
+        found = seen.agg(F.sum("n"), F.sum("bad"), F.count_if(mixed), F.count_if(F.col("from_t") <= limit), F.count_if(F.col("max_t").isNull() | (F.col("to_t") > limit))).first()
+        return tuple(x or 0 for x in found)
 
     def _staged(self, rows: DataFrame) -> DataFrame:
         path = self.files.at(f"_staging/{uuid.uuid4().hex}")
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _write(self, kind: str, piece: str, rows: DataFrame, n: int | None = None) -> None:
+    def _dealt(self, rows: DataFrame, n: int) -> DataFrame:
+        """n rows by their partitions of the table; in each, a long series is dealt by its chunks, so that none is one task."""
+        part = F.col("t_ms") - F.pmod(F.col("t_ms"), F.lit(self.schema.partition_ms))
+        chunk = F.call_function("div", "t_ms", F.lit(max(1, self.schema.chunk_ms)))
+        deal = F.pmod(F.xxhash64("metric", "lset", chunk), F.lit(max(1, -(-n // ROWS_A_FILE))))
+        return rows.withColumn("part_start", part).withColumn("_deal", deal).repartition("part_start", "_deal")
+
+    def _write(self, kind: str, piece: str, rows: DataFrame) -> None:
         """Adds a piece to the partitions of the rows."""
         keys = [c for c in ("metric", "lset", "t_ms", "bucket_ms") if c in rows.columns]
-        if n is not None:
-            # a long series is dealt by its chunks, so that none is one task
-            chunk = F.call_function("div", "t_ms", F.lit(max(1, self.schema.chunk_ms)))
-            rows = rows.repartition("part_start", F.pmod(F.xxhash64("metric", "lset", chunk), F.lit(max(1, -(-n // ROWS_A_FILE)))))
         rows.withColumn("piece", F.lit(piece)).sortWithinPartitions("part_start", *keys).write.mode("append").partitionBy("part_start", "piece").parquet(self.files.at(kind))
 
-    def _add(self, rows: DataFrame, n: int, replaced: list[int], gone: list[int] | None = None) -> None:
-        """Adds samples and what follows from them as a piece, in the place of the old pieces of `replaced` partitions, without those of `gone`, and commits."""
+    def _add(self, rows: DataFrame | None, replaced: list[int], gone: list[int] | None = None) -> None:
+        """Adds dealt samples and what follows from them as a piece, in the place of the old pieces of `replaced` partitions, without those of `gone`, and commits."""
         piece = uuid.uuid4().hex
-        self._write("samples", piece, rows, n)
+        if rows is not None:
+            self._write("samples", piece, rows)
         made = [int(x.removeprefix("part_start=")) for x in self.files.folders("samples") if self.files.exists(f"samples/{x}/piece={piece}")]
         new = {"samples": made, "series": made}
         if made:
@@ -365,7 +395,7 @@ class Table:
             self._write("series", piece, series_of(written))
             if self.schema.aggregates:
                 part = (F.col("bucket_ms") - F.pmod(F.col("bucket_ms"), F.lit(self.schema.partition_ms))).alias("part_start")
-                self._write("rollup", piece, rolled_up(written, self.schema.granularity_ms).select("*", part))
+                self._write("rollup", piece, rolled_up(written, self.schema.granularity_ms, [part]))
                 new["rollup"] = self._made("rollup", made, piece)
                 rolled = self._piece("rollup", ROLLUP_SCHEMA, new["rollup"], piece).drop("part_start")
                 for labels in self.schema.label_sets:
@@ -392,7 +422,7 @@ class Table:
 
     def _compact(self, parts: list[int]) -> None:
         rows = self._read("samples", canonical.SCHEMA + ", part_start long", parts=parts)
-        self._add(rows, rows.count(), parts)
+        self._add(self._dealt(rows, rows.count()).drop("_deal"), parts)
 
     def compact(self) -> None:
         """Makes one piece of several in each partition."""
@@ -424,7 +454,7 @@ class Table:
             hit = [r[0] for r in rows.where(condition).select("part_start").distinct().toLocalIterator()]
             if hit or whole:
                 rows = self._read("samples", canonical.SCHEMA + ", part_start long", parts=hit).where(~F.coalesce(condition, F.lit(False)))
-                self._add(rows, rows.count() if hit else 0, hit, whole)
+                self._add(self._dealt(rows, rows.count()).drop("_deal") if hit else None, hit, whole)
 
 
 __all__ = ["Table", "accepted", "merged", "mixed_types"]

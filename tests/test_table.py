@@ -361,6 +361,16 @@ def test_the_last_time_rule_is_called_for_groups_of_series(spark, tmp_path, monk
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
 
 
+def test_last_times_are_joined_only_to_batches_with_late_samples(spark, tmp_path, monkeypatch):
+    given = []
+    monkeypatch.setattr("tempora.sources.table.accepted", lambda batch, last, *a, **k: given.append(last is not None) or accepted(batch, last, *a, **k))
+    t = Table.create(spark, str(tmp_path / "t"), make_schema(aggregates="*"))
+    for points in ([("cpu", {}, 10, 1.0), ("cpu", {}, 10, 0.5)], [("cpu", {}, 11, 2.0), ("disk", {}, 5, 3.0)], [("cpu", {}, 11, 9.0), ("cpu", {}, 12, 4.0), ("disk", {}, 4, 9.0)], [("cpu", {}, 12, 9.0)]):
+        t.append(rows(spark, *points))
+    assert sorted((r["metric"], r["t_ms"], r["v"]) for r in t.samples().collect()) == [("cpu", 10, 0.5), ("cpu", 11, 2.0), ("cpu", 12, 4.0), ("disk", 5, 3.0)]
+    assert given == [False, False, True]
+
+
 def test_events_are_streamed_from_several_files_a_batch(spark, tmp_path, monkeypatch):
     from tempora.plans import catalog_more
 
